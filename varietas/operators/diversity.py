@@ -323,7 +323,7 @@ def radius_sample(points: DataFrame, n: int, radius: float, seed: int = 42, n_an
     """
     from varietas.functions.hashing import hash_order
 
-    anchors = (points.withColumn("_h", hash_order(seed, "anchor", id_col))
+    anchors = (points.withColumn("_h", hash_order(seed, F.lit("anchor"), id_col))
                .orderBy("_h", id_col).limit(n_anchors)
                .withColumn("anchor_rank", F.row_number().over(Window.orderBy("_h", id_col))))
     near = within_radius(points, anchors, radius, metric, vec, id_col, n_anchors)
@@ -332,6 +332,6 @@ def radius_sample(points: DataFrame, n: int, radius: float, seed: int = 42, n_an
             .join(anchors.select(F.col(id_col).alias("anchor_id"), "anchor_rank"), "anchor_id")
             .orderBy("anchor_rank").limit(1))
     chosen = near.join(F.broadcast(best.select("anchor_id", "n_within")), "anchor_id")
-    w = Window.partitionBy("anchor_id").orderBy(hash_order(seed, "pick", id_col), id_col)
+    w = Window.partitionBy("anchor_id").orderBy(hash_order(seed, F.lit("pick"), id_col), id_col)
     return (chosen.withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") <= n))
             .select("anchor_id", id_col, "dist", "n_within"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from varietas.plans import sampling_plans
+from varietas.plans import embedding_plans, sampling_plans
 
-_MODULES = [sampling_plans]
+_MODULES = [sampling_plans, embedding_plans]
 
 
 def queries():
