@@ -78,37 +78,33 @@ def vendi_features(df: DataFrame, keys: Sequence[str] = ("subsample",),
     """
     keys = list(keys)
     feats = list(features)
-    gkeys = keys if keys else []
-    tagged = df.withColumn("_rated", F.coalesce(*[F.col(f).isNotNull() for f in feats]) if len(feats) == 1
-                           else F.greatest(*[F.col(f).isNull().cast("int") for f in feats]) == 0)
-    unrated = tagged.groupBy(*gkeys).agg(F.sum((~F.col("_rated")).cast("long")).alias("n_unrated"))
-    grouped = (tagged.where("_rated").groupBy(*gkeys, *feats).agg(F.count("*").alias("_cnt")))
-    if not keys:
-        grouped = grouped.withColumn("_all", F.lit(1))
-        unrated = unrated.withColumn("_all", F.lit(1))
-        gkeys = ["_all"]
-
+    gkeys = keys if keys else ["_all"]
+    src = df if keys else df.withColumn("_all", F.lit(1))
+    # one aggregation: rows with a NULL feature form their own groups and are
+    # split off inside the scoring function (no second pass over the input)
+    grouped = src.groupBy(*gkeys, *feats).agg(F.count("*").alias("_cnt"))
     key_fields = [f for f in grouped.schema.fields if f.name in gkeys]
     out_schema = StructType(key_fields + [StructField("vs", DoubleType()),
                                           StructField("n", LongType()),
-                                          StructField("n_groups", IntegerType())])
+                                          StructField("n_groups", IntegerType()),
+                                          StructField("n_unrated", LongType())])
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = len(pdf)
+        rated = pdf[feats].notna().all(axis=1).to_numpy()
+        n_unrated = int(pdf["_cnt"].to_numpy()[~rated].sum())
+        r = pdf[rated]
+        g = len(r)
         if g > max_groups:
             raise ValueError(f"{g} distinct feature vectors exceed the bound {max_groups}")
-        cnt = pdf["_cnt"].to_numpy(dtype=np.float64)
+        cnt = r["_cnt"].to_numpy(dtype=np.float64)
         n = cnt.sum()
-        x = pdf[feats].to_numpy(dtype=np.float64)
-        vs = weighted_vendi(feature_kernel(x, metric), cnt / n, q)
+        vs = weighted_vendi(feature_kernel(r[feats].to_numpy(dtype=np.float64), metric), cnt / n, q) \
+            if g else float("nan")
         row = {k: pdf[k].iloc[0] for k in gkeys}
-        row.update(vs=vs, n=int(n), n_groups=g)
+        row.update(vs=vs, n=int(n), n_groups=g, n_unrated=n_unrated)
         return pd.DataFrame([row])
 
     res = grouped.groupBy(*gkeys).applyInPandas(score, out_schema)
-    res = res.join(unrated, gkeys, "full").select(
-        *gkeys, "vs", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_groups", F.lit(0)).alias("n_groups"),
-        "n_unrated")
     return res.drop("_all") if not keys else res
 
 

@@ -20,6 +20,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from varietas.functions.pvalues import f_pvalue, t_pvalue
 from varietas.functions.text import stars as stars_expr
+from varietas.session import cut_lineage
 
 
 def _part(keys):
@@ -183,7 +184,7 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[
     Position h = q (n - 1); result = v[floor h] + (h - floor h)(v[ceil h] - v[floor h]).
     """
     keys = list(keys)
-    pos = distinct_value_positions(df, value, keys)
+    pos = cut_lineage(distinct_value_positions(df, value, keys))  # read three times below
     sizes = pos.select(*keys, "n").distinct()
     qs = sizes.withColumn("q", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
     qs = qs.withColumn("_h", F.col("q") * (F.col("n") - 1))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from varietas.plans import embedding_plans, sampling_plans, stats_plans
+from varietas.plans import embedding_plans, sampling_plans, stats_plans, sweep_plans, topic_plans
 
-_MODULES = [sampling_plans, embedding_plans, stats_plans]
+_MODULES = [sampling_plans, embedding_plans, stats_plans, topic_plans, sweep_plans]
 
 
 def queries():

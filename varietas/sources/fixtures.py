@@ -17,8 +17,27 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
+# Tables whose rows carry heavy per-row work (long texts, vectors, many rows).
+_SPREAD = {"documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    key = _SPREAD.get(name)
+    return spread(df, key) if key else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-repartition a scan that arrives in fewer partitions than there are
+    cores (one large file), so per-row work runs in parallel.  A scan that is
+    already wide (the cluster case: thousands of files) is left alone, so no
+    shuffle is added there.  Hashing on the key keeps the split deterministic
+    across task retries.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par, key)
+    return df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
