@@ -226,9 +226,10 @@ def assign_topics(emb: DataFrame, k: int = 10, min_size: int = 25, seed: int = 4
     pred = pred.withColumn("_ex", ex)
     total = F.aggregate("_ex", F.lit(0.0), lambda s, v: s + v)
     pred = pred.withColumn("membership", F.element_at("_ex", F.col("_c") + 1) / total)
-    size = F.count("*").over(Window.partitionBy("_c"))
-    return pred.select("doc_id", F.when(size >= min_size, F.col("_c")).otherwise(F.lit(-1)).alias("topic_nr"),
-                       "membership")
+    sizes = pred.groupBy("_c").agg(F.count("*").alias("_size"))  # k rows
+    pred = pred.join(F.broadcast(sizes), "_c")
+    return pred.select("doc_id", F.when(F.col("_size") >= min_size, F.col("_c")).otherwise(F.lit(-1))
+                       .alias("topic_nr"), "membership")
 
 
 def project_2d(emb: DataFrame, vec: str = "embedding") -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from varietas.plans import embedding_plans, sampling_plans, stats_plans, sweep_plans, topic_plans
+from varietas.plans import (embedding_plans, sampling_plans, stats_plans, suite_plans, sweep_plans,
+                            topic_plans)
 
-_MODULES = [sampling_plans, embedding_plans, stats_plans, topic_plans, sweep_plans]
+_MODULES = [sampling_plans, embedding_plans, stats_plans, topic_plans, sweep_plans, suite_plans]
 
 
 def queries():

@@ -83,13 +83,20 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tokenize("text").alias("tokens"))
 
 
-def frequent_tokens(spark: SparkSession, sf_dir: str, min_docs: int = 20,
+def frequent_tokens(spark: SparkSession, sf_dir: str, min_df: float = 0.05,
                     min_len: int = 2) -> DataFrame:
-    """Tokens that occur in at least ``min_docs`` documents (document frequency)."""
+    """Tokens found in at least ``min_df`` of all documents.
+
+    A relative threshold bounds the table: at most (mean distinct words per
+    document) / min_df tokens can qualify, whatever the corpus size, so the
+    lexicon and gazetteer built from it are bounded dimension tables.
+    """
     t = (doc_tokens(spark, sf_dir)
          .select("doc_id", F.explode(F.array_distinct("tokens")).alias("word"))
          .where(F.length("word") >= min_len))
-    return t.groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") >= min_docs)
+    n_docs = table(spark, sf_dir, "documents").agg(F.count("*").alias("_n"))
+    df = t.groupBy("word").agg(F.count("*").alias("df"))
+    return df.crossJoin(F.broadcast(n_docs)).where(F.col("df") >= F.lit(min_df) * F.col("_n")).drop("_n")
 
 
 # Part-of-speech and entity labels assigned by md5 modulo 4.
@@ -102,15 +109,15 @@ def _label_by_md5(col: str, labels) -> F.Column:
     return F.element_at(F.array(*[F.lit(x) for x in labels]), idx + 1)
 
 
-def lexicon(spark: SparkSession, sf_dir: str, min_docs: int = 20) -> DataFrame:
+def lexicon(spark: SparkSession, sf_dir: str, min_df: float = 0.05) -> DataFrame:
     """lexicon(word, pos): frequent tokens tagged by md5(word) modulo 4."""
-    return frequent_tokens(spark, sf_dir, min_docs).select(
+    return frequent_tokens(spark, sf_dir, min_df).select(
         "word", _label_by_md5("word", POS_LABELS).alias("pos"))
 
 
-def gazetteer(spark: SparkSession, sf_dir: str, min_docs: int = 20) -> DataFrame:
+def gazetteer(spark: SparkSession, sf_dir: str, min_df: float = 0.05) -> DataFrame:
     """gazetteer(surface, label): frequent tokens of >= 5 characters."""
-    return frequent_tokens(spark, sf_dir, min_docs, min_len=5).select(
+    return frequent_tokens(spark, sf_dir, min_df, min_len=5).select(
         F.col("word").alias("surface"), _label_by_md5("word", ENTITY_LABELS).alias("label"))
 
 
