@@ -30,6 +30,7 @@ def c_tf_idf(counts: DataFrame, topic: str = "topic_nr") -> DataFrame:
     A = integer part of the mean number of words per topic; f_term = the term's
     count over all topics.  Three aggregates, no pivot.
     """
+    counts = cut_lineage(counts)  # read by three aggregates below
     per_topic = counts.groupBy(topic).agg(F.sum("tf").alias("_words"))
     avg_words = per_topic.agg(F.floor(F.avg("_words")).alias("_A"))
     per_term = counts.groupBy("term").agg(F.sum("tf").alias("_f"))
