@@ -53,7 +53,9 @@ def scan_articles(spark: SparkSession, path: str, mapping: Mapping[str, str] = A
         F.col("_file").alias("file"), F.col("_pos").alias("sentence_index"), F.col("b.sentence").alias("text"),
         remap("_src", mapping).alias("source"), "date", "main_entities",
         any_annotation("b.annotations", lambda a: a["bias"] == "Lexical").alias("label"))
-    audit = arts.agg(F.count("*").alias("files"), F.count_if(F.col("_corrupt_record").isNotNull()).alias("skipped"))
+    # reference a parsed column too: Spark refuses queries on the corrupt column alone
+    audit = arts.agg(F.count("*").alias("files"),
+                     F.count_if(F.col("_corrupt_record").isNotNull() & F.col("body").isNull()).alias("skipped"))
     stats = sents.agg(F.count_if(F.col("text").isNotNull()).alias("sentences"),
                       F.count_if(F.col("text").isNull() | (F.length("text") == 0)).alias("empty"))
     kept = sents.where(F.length("text") > 0)
