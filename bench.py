@@ -15,6 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from varietas.plans import embedding_plans, sampling_plans, stats_plans, sweep_plans, topic_plans  # noqa: E402
 from varietas.session import get_spark  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 HEADLINE = {
     # D6 + V1 + V5: 36 source subsamples with Vendi scores (the flagship)
@@ -48,6 +49,12 @@ def main() -> None:
     from pyspark.sql.functions import pandas_udf
     warm = pandas_udf(lambda s: s + 1, "long")
     spark.range(0, 10_000, numPartitions=cpus).select(warm("id").alias("x")).agg({"x": "sum"}).collect()
+
+    def _np(pdf):
+        import numpy as np
+        return pdf.assign(id=np.asarray(pdf["id"]) + 1)
+    spark.range(0, 10_000, numPartitions=cpus).withColumn("g", F.col("id") % cpus) \
+        .groupBy("g").applyInPandas(lambda pdf: _np(pdf[["id"]]), "id long").agg({"id": "count"}).collect()
     times: dict[str, float] = {}
     for name, fn in HEADLINE.items():
         t0 = time.perf_counter()

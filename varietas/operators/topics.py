@@ -18,9 +18,18 @@ from varietas.session import cut_lineage
 
 def term_counts(doc_tokens: DataFrame, doc_topic: DataFrame, topic: str = "topic_nr",
                 tokens: str = "tokens") -> DataFrame:
-    """(topic, term, tf): term counts per topic over whole texts (NULL topics dropped)."""
+    """(topic, term, tf): term counts per topic over whole texts (NULL topics dropped).
+
+    ``doc_tokens`` holds (doc_id, tokens) or (doc_id, text); texts are joined to
+    the topic table first and only documents with a topic are tokenized.
+    """
     t = doc_tokens.join(doc_topic.where(F.col(topic).isNotNull()), "doc_id")
-    return (t.select(topic, F.explode(tokens).alias("term"))
+    if tokens not in doc_tokens.columns:
+        from varietas.functions.text import tokenize
+        t = t.withColumn(tokens, tokenize("text"))
+    # explode_outer + null filter: an inner explode makes the optimizer infer
+    # size(tokens) > 0 and push that second tokenization down to the scan
+    return (t.select(topic, F.explode_outer(tokens).alias("term")).where(F.col("term").isNotNull())
             .groupBy(topic, "term").agg(F.count("*").alias("tf")))
 
 
@@ -126,7 +135,8 @@ def window_cooccurrence(doc_tokens: DataFrame, relevant: DataFrame, window: int
     are counted in its own task with prefix sums; Spark adds the counts.
     """
     rel = relevant.select("word", F.col("idx").cast("int").alias("idx"))
-    pos = doc_tokens.select("doc_id", F.size(tokens).alias("_len"), F.posexplode(tokens).alias("_p", "word"))
+    pos = doc_tokens.select("doc_id", F.size(tokens).alias("_len"), F.posexplode_outer(tokens).alias("_p", "word")) \
+        .where(F.col("word").isNotNull())
     hits = pos.join(F.broadcast(rel), "word")
     per_doc = hits.groupBy("doc_id", "_len").agg(F.collect_list(F.struct("_p", "idx")).alias("_hits"))
     schema = StructType([StructField("i", IntegerType()), StructField("j", IntegerType()),

@@ -46,7 +46,7 @@ SQL_STRATIFIED_SPLIT = "WITH " + _SQL_SPLIT_CTE + "SELECT doc_id, label, is_test
 def uniform_train(spark, sf_dir, reps: int = 3):
     """Uniform subsamples drawn from the corpus minus the test set."""
     sp = split(spark, sf_dir)
-    test = sp.where("is_test").select("doc_id", "label")
+    test = cut_lineage(sp.where("is_test").select("doc_id", "label"))
     pool = fx.corpus(spark, sf_dir).select("doc_id", "category", "label").join(test.select("doc_id"), "doc_id",
                                                                               "left_anti")
     caps = sampling.category_caps(pool)
@@ -54,20 +54,22 @@ def uniform_train(spark, sf_dir, reps: int = 3):
         "subsample", F.explode(F.array(*[F.lit(f"alpha_inf_idx_{r}") for r in range(1, reps + 1)])))
     members = sampling.draw(pool, alloc, N, SEED)
     train = members.where(F.col("label").isNotNull()).select("subsample", "doc_id", "label")
-    return train, test
+    # both are id lists read by several later stages; cut their lineage once
+    return cut_lineage(train), test
 
 
 def nb_predictions(spark, sf_dir):
     train, test = uniform_train(spark, sf_dir)
-    toks = fx.doc_tokens(spark, sf_dir)
+    toks = fx.doc_texts(spark, sf_dir)
     model, classes = sweep.train_nb(train, toks)
+    model, classes = cut_lineage(model), cut_lineage(classes)
     return sweep.predict_nb(model, classes, test, toks), classes
 
 
 def q_nb_model(spark, sf_dir):
     """Per-subsample class sizes, word totals and vocabulary."""
     train, _ = uniform_train(spark, sf_dir)
-    _, classes = sweep.train_nb(train, fx.doc_tokens(spark, sf_dir))
+    _, classes = sweep.train_nb(train, fx.doc_texts(spark, sf_dir))
     return classes.select("subsample", "docs0", "docs1", "words0", "words1", "vocab")
 
 
@@ -158,14 +160,15 @@ FROM d
 def sweep_results(spark, sf_dir) -> DataFrame:
     """T1 -> T2 -> A10 -> J4 over all 36 source subsamples (sweep result table)."""
     sp = split(spark, sf_dir)
-    test = sp.where("is_test").select("doc_id", "label")
+    test = cut_lineage(sp.where("is_test").select("doc_id", "label"))
     pool = rated_pool(spark, sf_dir).join(test.select("doc_id"), "doc_id", "left_anti")
     members, _ = sampling.create_subsets(pool, n_total=N, seed=SEED)
     members = cut_lineage(members.select("subsample", "alpha", "doc_id", "label", "reliability", "bias"))
     scores = diversity.score_table(diversity.vendi_features(members, ["subsample"]))
     train = members.where(F.col("label").isNotNull()).select("subsample", "doc_id", "label")
-    toks = fx.doc_tokens(spark, sf_dir)
+    toks = fx.doc_texts(spark, sf_dir)
     model, classes = sweep.train_nb(train, toks)
+    model, classes = cut_lineage(model), cut_lineage(classes)
     pred = sweep.predict_nb(model, classes, test, toks)
     m = stats.binary_metrics(pred, ["subsample"])
     res = joins.attach(m, scores, ["subsample"])

@@ -14,7 +14,7 @@ SEED = 42
 
 
 def topic_term(spark, sf_dir):
-    return topics.c_tf_idf(topics.term_counts(fx.doc_tokens(spark, sf_dir), fx.doc_topic(spark, sf_dir)))
+    return topics.c_tf_idf(topics.term_counts(fx.doc_texts(spark, sf_dir), fx.doc_topic(spark, sf_dir)))
 
 
 _SQL_CTFIDF_CTE = r"""

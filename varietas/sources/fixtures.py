@@ -34,9 +34,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     shuffle is added there.  Hashing on the key keeps the split deterministic
     across task retries.
     """
-    par = df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    par = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < par:
-        return df.repartition(par, key)
+        # hash partitioning on the key with the shuffle partition count, so a
+        # later join or aggregation on the same key reuses it (no second shuffle)
+        return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
     return df
 
 
@@ -83,6 +86,11 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tokenize("text").alias("tokens"))
 
 
+def doc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): for operators that join first and tokenize afterwards."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
 def frequent_tokens(spark: SparkSession, sf_dir: str, min_df: float = 0.05,
                     min_len: int = 2) -> DataFrame:
     """Tokens found in at least ``min_df`` of all documents.
@@ -92,7 +100,7 @@ def frequent_tokens(spark: SparkSession, sf_dir: str, min_df: float = 0.05,
     lexicon and gazetteer built from it are bounded dimension tables.
     """
     t = (doc_tokens(spark, sf_dir)
-         .select("doc_id", F.explode(F.array_distinct("tokens")).alias("word"))
+         .select("doc_id", F.explode_outer(F.array_distinct("tokens")).alias("word"))
          .where(F.length("word") >= min_len))
     n_docs = table(spark, sf_dir, "documents").agg(F.count("*").alias("_n"))
     df = t.groupBy("word").agg(F.count("*").alias("df"))
