@@ -44,7 +44,7 @@ def test_golden_correlations(spark):
 
 
 def test_golden_anova_low_high(spark):
-    df = _sweep(spark).withColumn("g", bin_edges(stats.min_max_scale("vs", ["dataset"])))
+    df = stats.with_min_max(_sweep(spark), "vs", ["dataset"], "s").withColumn("g", bin_edges("s"))
     sizes = {r["g"]: r["c"] for r in df.groupBy("g").agg(F.count("*").alias("c")).collect()}
     assert (sizes["low"], sizes["middle"], sizes["high"]) == (7, 19, 10)
     a = stats.anova(df, "mcc", "g", ["dataset"], groups=["low", "high"]).collect()[0]

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -73,15 +73,22 @@ def pick_test_set(df: DataFrame, mapping: DataFrame, key: str = "dataset") -> Da
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """W1 / W2 / O4 keep-first: row_number() = 1 per key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """W1 / W2 / O4 keep-first: the row with the smallest ``order`` per key.
+
+    An aggregate (min_by over a struct, partial before the shuffle) rather than
+    a window, so a key shared by a third of all rows (copies of one text) never
+    lands whole in one task.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    agg = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return agg.select(*keys, "_r.*")
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
-    """O4 keep-last on a key subset (NULL keys are equal in window partitions)."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order_col))
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """O4 keep-last on a key subset (NULL keys are one group)."""
+    rest = [c for c in df.columns if c not in keys]
+    agg = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order_col)).alias("_r"))
+    return agg.select(*keys, "_r.*")
 
 
 def prefer_variant(df: DataFrame, col: str = "source", suffix: str = "-website",

@@ -51,23 +51,42 @@ def summary(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30, keys: Sequence[str] = ()) -> DataFrame:
-    """Equal-width bins over [min, max] per key; the last bin is closed."""
+    """Equal-width bins over [min, max] per key; the last bin is closed.
+
+    min / max come from an aggregate joined back (not a window over the group).
+    """
     keys = list(keys)
-    part = _part(keys)
-    lo, hi = F.min(col).over(part), F.max(col).over(part)
-    width = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
-    b = F.least(F.floor((F.col(col) - lo) / width * bins), F.lit(bins - 1)).cast("int")
-    return df.where(F.col(col).isNotNull()).withColumn("bin", b).groupBy(*keys, "bin").agg(
-        F.count("*").alias("n"))
+    src = df.where(F.col(col).isNotNull())
+    rng = src.groupBy(*keys).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
+    j = src.join(F.broadcast(rng), keys) if keys else src.crossJoin(F.broadcast(rng))
+    width = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(F.lit(1.0))
+    b = F.least(F.floor((F.col(col) - F.col("_lo")) / width * bins), F.lit(bins - 1)).cast("int")
+    return j.withColumn("bin", b).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
 
 
 def min_max_scale(c: str, keys: Sequence[str] = ()) -> Column:
-    """(x - min) / (max - min) per partition, 0 when max = min."""
+    """P18 as a window expression, for small (already aggregated) tables only;
+    use ``with_min_max`` on data rows."""
     part = _part(keys)
     lo, hi = F.min(c).over(part), F.max(c).over(part)
     return F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(F.lit(0.0))
 
 
+def with_min_max(df: DataFrame, c: str, keys: Sequence[str] = (), out: str | None = None) -> DataFrame:
+    """(x - min) / (max - min) per key, 0 when max = min (as sklearn).
+
+    min / max per key are an aggregate (partial before the shuffle) joined back;
+    the key table is one row per group, so it is broadcast.
+    """
+    keys = list(keys)
+    out = out or f"{c}_scaled"
+    rng = df.groupBy(*keys).agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"))
+    j = df.join(F.broadcast(rng), keys) if keys else df.crossJoin(F.broadcast(rng))
+    scaled = F.when(F.col("_hi") > F.col("_lo"), (F.col(c) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))) \
+        .otherwise(F.lit(0.0))
+    return j.withColumn(out, scaled).drop("_lo", "_hi")
+
+
 def scale_by_max(c: str, k: float = 50.0, keys: Sequence[str] = ()) -> Column:
     """X / max(x) * k per partition."""
     return F.col(c) / F.max(c).over(_part(keys)) * k

@@ -317,9 +317,9 @@ SELECT conv_id, turn, len(toks) AS n_tokens, len(toks[1:128]) AS n_kept,
 
 def q_p_value_stars(spark, sf_dir):
     """P20 + P21: right-closed bins of a scaled value and star rules on a p-like value."""
-    from varietas.operators.stats import min_max_scale
+    from varietas.operators.stats import with_min_max
     o = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
-    o = o.withColumn("scaled", min_max_scale("o_totalprice"))
+    o = with_min_max(o, "o_totalprice", out="scaled")
     o = o.withColumn("p", (F.col("o_custkey") % 100) / 1000.0)
     return o.select("o_orderkey", T.bin_edges("scaled").alias("bin"), T.stars("p").alias("stars_strict"),
                     T.stars("p", inclusive=True).alias("stars_inclusive"))

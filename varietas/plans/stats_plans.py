@@ -106,7 +106,7 @@ def q_anova_low_high(spark, sf_dir):
     ANOVA of low against high (rows-only: carries the p-value)."""
     o = fx.table(spark, sf_dir, "orders").withColumn("_vs", F.col("o_totalprice"))
     from varietas.functions.text import bin_edges
-    o = o.withColumn("group", bin_edges(stats.min_max_scale("_vs", ["o_orderpriority"])))
+    o = stats.with_min_max(o, "_vs", ["o_orderpriority"], "_scaled").withColumn("group", bin_edges("_scaled"))
     a = stats.anova(o, "o_custkey", "group", ["o_orderpriority"], groups=["low", "high"])
     return a.select("o_orderpriority", "k", "n", R6("f").alias("f"), R6("p").alias("p"))
 

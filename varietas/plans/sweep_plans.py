@@ -191,7 +191,7 @@ def q_sweep_analysis(spark, sf_dir):
     s = stats.spearman(r, "vs", "mcc", keys).select(*keys, R6("rho").alias("spearman_rho"),
                                                     R6("p").alias("spearman_p"))
     from varietas.functions.text import bin_edges
-    g = r.withColumn("group", bin_edges(stats.min_max_scale("vs", keys)))
+    g = stats.with_min_max(r, "vs", keys, "_scaled").withColumn("group", bin_edges("_scaled"))
     a = stats.anova(g, "mcc", "group", keys, groups=["low", "high"]).select(
         *keys, R6("f").alias("anova_f"), R6("p").alias("anova_p"))
     return o.join(p, keys).join(s, keys).join(a, keys, "left")
