@@ -215,7 +215,7 @@ def coherence_cv(doc_tokens: DataFrame, topic_words: DataFrame, window: int = 11
 
 # --------------------------------------------------------------------------- X5 / X10
 def assign_topics(emb: DataFrame, k: int = 10, min_size: int = 25, seed: int = 42,
-                  vec: str = "embedding") -> DataFrame:
+                  vec: str = "embedding", with_weights: bool = False) -> DataFrame:
     """X5 (re-aimed): k-means topics on the vectors; clusters smaller than
     ``min_size`` become -1 (outliers); membership = softmax of -distance.
 
@@ -239,8 +239,12 @@ def assign_topics(emb: DataFrame, k: int = 10, min_size: int = 25, seed: int = 4
     pred = pred.withColumn("membership", F.element_at("_ex", F.col("_c") + 1) / total)
     sizes = pred.groupBy("_c").agg(F.count("*").alias("_size"))  # k rows
     pred = pred.join(F.broadcast(sizes), "_c")
-    return pred.select("doc_id", F.when(F.col("_size") >= min_size, F.col("_c")).otherwise(F.lit(-1))
-                       .alias("topic_nr"), "membership")
+    cols = ["doc_id", F.when(F.col("_size") >= min_size, F.col("_c")).otherwise(F.lit(-1)).alias("topic_nr"),
+            "membership"]
+    if with_weights:
+        # one weight per candidate topic (softmax of -distance), for X6
+        cols.append(F.transform("_ex", lambda e: e / total).alias("weights"))
+    return pred.select(*cols)
 
 
 def project_2d(emb: DataFrame, vec: str = "embedding") -> DataFrame:

@@ -124,7 +124,17 @@ def q_project_2d(spark, sf_dir):
                        R6(F.col("size") / F.sum("size").over(Window.partitionBy(F.lit(1)))).alias("proportion"))
 
 
+def q_reassigned_topics(spark, sf_dir):
+    """X5 + X6: outliers of the k-means topics take their most likely topic
+    when its weight >= 0.05 (rows-only)."""
+    t = topics.assign_topics(fx.embedding(spark, sf_dir), k=10, min_size=60, with_weights=True)
+    cand = t.select("doc_id", "topic_nr", F.posexplode("weights").alias("candidate", "weight"))
+    r = topics.reassign_outliers(cand, threshold=0.05)
+    return r.groupBy("topic_nr_orig", "topic_nr").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
+    "reassigned_topics": q_reassigned_topics,
     "c_tf_idf": q_c_tf_idf,
     "top_words": q_top_words,
     "topic_labels": q_topic_labels,
