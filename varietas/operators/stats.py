@@ -162,21 +162,22 @@ def distinct_value_positions(df: DataFrame, value: str, keys: Sequence[str] = ()
     cols = [*keys, value]
 
     def local(batches):
+        # rows arrive sorted by (keys, value); per group: count of rows before
         carry: dict = {}
         for pdf in batches:
             if pdf.empty:
                 continue
-            gk = [tuple(r) for r in pdf[keys].itertuples(index=False, name=None)] if keys else [()] * len(pdf)
-            cnt = pdf["cnt"].to_numpy()
-            out = np.empty(len(pdf), dtype=np.int64)
-            for i, g in enumerate(gk):
-                c = carry.get(g, 0)
-                out[i] = c
-                carry[g] = c + int(cnt[i])
+            cnt = pdf["cnt"].astype(np.int64)
+            gid = pd.Series(list(zip(*[pdf[k] for k in keys])), index=pdf.index) if keys \
+                else pd.Series([()] * len(pdf), index=pdf.index)
+            within = cnt.groupby(gid, sort=False).cumsum() - cnt
+            start = gid.map(lambda g: carry.get(g, 0)).astype(np.int64)
+            for g, tot in cnt.groupby(gid, sort=False).sum().items():
+                carry[g] = carry.get(g, 0) + int(tot)
             res = pdf[cols].copy()
-            res["cnt"] = cnt.astype(np.int64)
+            res["cnt"] = cnt
             res["_pid"] = pdf["_pid"].astype(np.int64)
-            res["_local"] = out
+            res["_local"] = (start + within).astype(np.int64)
             yield res
 
     loc = ordered.select(*cols, "cnt", "_pid").mapInPandas(local, schema)
