@@ -103,8 +103,7 @@ def q_topic_subsample_scores(spark, sf_dir):
 
 
 def q_coherence_cv(spark, sf_dir):
-    """c_v coherence of the top 10 words of every topic (rows-only; checked
-    against a brute-force window count in the unit tests)."""
+    """c_v coherence of the top 10 words of every topic."""
     tw = topics.top_words(topic_term(spark, sf_dir), k=10).select("topic_nr", F.col("term").alias("word"))
     c = topics.coherence_cv(fx.doc_tokens(spark, sf_dir), tw)
     return c.select("topic_nr", R6("coherence").alias("coherence"))
@@ -152,3 +151,33 @@ ORACLE = {
     "topic_labels": SQL_TOPIC_LABELS,
     "centred_topic_cosine": SQL_CENTRED_TOPIC_COSINE,
 }
+
+
+# Brute-force twin of X8: every occurrence of a top word is expanded into the
+# sliding windows that contain it; window counts come from DISTINCT (doc, window).
+SQL_COHERENCE_CV = "WITH " + _SQL_CTFIDF_CTE + r""",
+r AS (SELECT *, row_number() OVER (PARTITION BY topic_nr ORDER BY weight DESC, term) AS rank FROM w),
+tw AS (SELECT topic_nr, term AS word FROM r WHERE rank <= 10),
+rel AS (SELECT DISTINCT word FROM tw),
+dt AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS ts FROM documents),
+occ AS (SELECT doc_id, len(ts) AS l, unnest(ts) AS word, generate_subscripts(ts, 1) - 1 AS p FROM dt),
+hit AS (SELECT o.doc_id, o.l, o.word, o.p, greatest(o.l - 110 + 1, 1) AS nwin FROM occ o JOIN rel ON o.word = rel.word),
+docs AS (SELECT DISTINCT doc_id, nwin FROM hit),
+nw AS (SELECT sum(nwin) AS n_windows FROM docs),
+win AS (SELECT DISTINCT doc_id, word, unnest(generate_series(greatest(p - 109, 0), least(p, nwin - 1))) AS s FROM hit),
+oc AS (SELECT word, count(*) AS c FROM win GROUP BY word),
+co AS (SELECT a.word AS wi, b.word AS wj, count(*) AS c FROM win a JOIN win b ON a.doc_id = b.doc_id AND a.s = b.s
+       GROUP BY ALL),
+grid AS (SELECT a.topic_nr, a.word AS wi, b.word AS wj FROM tw a JOIN tw b ON a.topic_nr = b.topic_nr),
+g AS (SELECT grid.*, coalesce(co.c, 0) AS cij, coalesce(oi.c, 0) AS ci, coalesce(oj.c, 0) AS cj, nw.n_windows AS n
+      FROM grid LEFT JOIN co ON grid.wi = co.wi AND grid.wj = co.wj
+      LEFT JOIN oc oi ON grid.wi = oi.word LEFT JOIN oc oj ON grid.wj = oj.word CROSS JOIN nw),
+np AS (SELECT topic_nr, wi, wj,
+         ln((cij / n + 1e-12) / ((ci / n) * (cj / n))) / (-ln(cij / n + 1e-12)) AS npmi FROM g),
+sv AS (SELECT topic_nr, wj, sum(npmi) AS v FROM np GROUP BY ALL),
+seg AS (SELECT np.topic_nr, np.wi, sum(np.npmi * sv.v) / (sqrt(sum(np.npmi * np.npmi)) * sqrt(sum(sv.v * sv.v))) AS c
+        FROM np JOIN sv ON np.topic_nr = sv.topic_nr AND np.wj = sv.wj GROUP BY ALL)
+SELECT topic_nr, round(avg(c), 6) AS coherence FROM seg GROUP BY topic_nr
+"""
+
+ORACLE["coherence_cv"] = SQL_COHERENCE_CV
