@@ -310,7 +310,7 @@ WITH q AS (SELECT c1.conv_id, c1.turn, c1.text AS question, c2.text AS right_ans
            FROM conversations c1 JOIN conversations c2 ON c1.conv_id = c2.conv_id AND c2.turn = c1.turn + 1
            WHERE c1.role = 'user' AND c2.role = 'assistant'),
 t AS (SELECT conv_id, turn, regexp_extract_all(lower(concat_ws(' ', question, right_answer)), '[\p{L}\p{N}_]{2,}') AS toks FROM q)
-SELECT conv_id, turn, len(toks) AS n_tokens, len(toks[1:128]) AS n_kept,
+SELECT conv_id, turn, CAST(len(toks) AS INTEGER) AS n_tokens, CAST(len(toks[1:128]) AS INTEGER) AS n_kept,
        format('{:.3f}', len(toks[1:128]) / greatest(len(toks), 1)) AS kept_share FROM t
 """
 

@@ -246,8 +246,9 @@ def q_audit_counts(spark, sf_dir):
 
 
 SQL_AUDIT_COUNTS = """
-SELECT count(*) AS rows_before, count_if(text IS NULL) AS null_text, count_if(length(text) = 0) AS empty_text,
-       count_if(length(text) > 0) AS rows_after FROM documents
+SELECT count(*) AS rows_before, CAST(count_if(text IS NULL) AS BIGINT) AS null_text,
+       CAST(count_if(length(text) = 0) AS BIGINT) AS empty_text,
+       CAST(count_if(length(text) > 0) AS BIGINT) AS rows_after FROM documents
 """
 
 

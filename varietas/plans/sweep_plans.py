@@ -98,7 +98,8 @@ train AS (SELECT subsample, doc_id, label FROM ranked WHERE rn <= n AND label IS
 toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS token FROM documents),
 model AS (SELECT t.subsample, k.token, count_if(t.label = 0) AS n0, count_if(t.label = 1) AS n1
           FROM train t JOIN toks k ON t.doc_id = k.doc_id GROUP BY ALL),
-docs AS (SELECT subsample, count_if(label = 0) AS docs0, count_if(label = 1) AS docs1 FROM train GROUP BY ALL),
+docs AS (SELECT subsample, CAST(count_if(label = 0) AS BIGINT) AS docs0, CAST(count_if(label = 1) AS BIGINT) AS docs1
+         FROM train GROUP BY ALL),
 words AS (SELECT subsample, CAST(sum(n0) AS BIGINT) AS words0, CAST(sum(n1) AS BIGINT) AS words1, count(*) AS vocab
           FROM model GROUP BY ALL),
 classes AS (SELECT d.subsample, d.docs0, d.docs1, coalesce(w.words0, 0) AS words0, coalesce(w.words1, 0) AS words1,
@@ -141,8 +142,10 @@ def q_sweep_metrics(spark, sf_dir):
 
 
 SQL_SWEEP_METRICS = "WITH " + _SQL_PRED_CTE + """,
-cf AS (SELECT subsample, count_if(label = 1 AND pred = 1) AS tp, count_if(label = 0 AND pred = 1) AS fp,
-              count_if(label = 1 AND pred = 0) AS fn, count_if(label = 0 AND pred = 0) AS tn FROM pred GROUP BY ALL),
+cf AS (SELECT subsample, CAST(count_if(label = 1 AND pred = 1) AS BIGINT) AS tp,
+              CAST(count_if(label = 0 AND pred = 1) AS BIGINT) AS fp,
+              CAST(count_if(label = 1 AND pred = 0) AS BIGINT) AS fn,
+              CAST(count_if(label = 0 AND pred = 0) AS BIGINT) AS tn FROM pred GROUP BY ALL),
 d AS (SELECT *, CAST(tp AS DOUBLE) AS tpd, CAST(fp AS DOUBLE) AS fpd, CAST(fn AS DOUBLE) AS fnd, CAST(tn AS DOUBLE) AS tnd FROM cf)
 SELECT subsample, tp, fp, fn, tn,
   round(CASE WHEN sqrt(tpd + fpd) * sqrt(tpd + fnd) * sqrt(tnd + fpd) * sqrt(tnd + fnd) > 0
