@@ -285,3 +285,89 @@ ORACLE = {
     "distinct_values": SQL_DISTINCT_VALUES,
     "audit_counts": SQL_AUDIT_COUNTS,
 }
+
+
+# --------------------------------------------------------------------------- p-value oracles
+from varietas.plans.sql_pvalues import betainc_ctes, f_src, t_src  # noqa: E402
+
+SQL_OLS_PVALUES = """
+WITH RECURSIVE a AS (
+  SELECT o_orderpriority, o_orderpriority AS id, regr_slope(o_totalprice, o_custkey) AS slope,
+         regr_sxx(o_totalprice, o_custkey) AS sxx, regr_syy(o_totalprice, o_custkey) AS syy,
+         regr_count(o_totalprice, o_custkey) AS n
+  FROM orders GROUP BY o_orderpriority),
+b AS (SELECT *, slope / sqrt(greatest(syy - slope * slope * sxx, 0.0) / (n - 2) / sxx) AS t, n - 2 AS df FROM a),
+""" + t_src("b", "t", "df", "src") + "," + betainc_ctes("src", "pv") + """
+SELECT b.o_orderpriority, CAST(b.n AS BIGINT) AS n, round(b.slope, 6) AS slope, round(b.t, 6) AS t, round(pv.p, 6) AS p
+FROM b JOIN pv ON b.id = pv.id
+"""
+
+SQL_CORR_PVALUES = """
+WITH RECURSIVE base AS (SELECT l_returnflag, l_linestatus, l_quantity AS x, l_extendedprice AS y FROM lineitem
+                        WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL),
+p AS (SELECT l_returnflag, l_linestatus, l_returnflag || '|' || l_linestatus AS id, count(*) AS n, corr(x, y) AS r
+      FROM base GROUP BY ALL),
+rk AS (SELECT l_returnflag, l_linestatus,
+         rank() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY x)
+           + (count(*) OVER (PARTITION BY l_returnflag, l_linestatus, x) - 1) / 2.0 AS rx,
+         rank() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY y)
+           + (count(*) OVER (PARTITION BY l_returnflag, l_linestatus, y) - 1) / 2.0 AS ry FROM base),
+s AS (SELECT l_returnflag, l_linestatus, l_returnflag || '|' || l_linestatus AS id, count(*) AS n, corr(rx, ry) AS rho
+      FROM rk GROUP BY ALL),
+pt AS (SELECT id, r * sqrt((n - 2) / (1 - r * r)) AS t, n - 2 AS df FROM p),
+st AS (SELECT id, rho * sqrt((n - 2) / (1 - rho * rho)) AS t, n - 2 AS df FROM s),
+""" + t_src("pt", "t", "df", "psrc") + "," + betainc_ctes("psrc", "ppv") + "," + \
+    t_src("st", "t", "df", "ssrc") + "," + betainc_ctes("ssrc", "spv") + """
+SELECT p.l_returnflag, p.l_linestatus, round(p.r, 6) AS pearson_r, round(ppv.p, 6) AS pearson_p,
+       round(s.rho, 6) AS spearman_rho, round(spv.p, 6) AS spearman_p
+FROM p JOIN s ON p.id = s.id JOIN ppv ON p.id = ppv.id JOIN spv ON p.id = spv.id
+"""
+
+SQL_ANOVA_LOW_HIGH = """
+WITH RECURSIVE o AS (
+  SELECT o_orderpriority, o_custkey,
+    CASE WHEN max(o_totalprice) OVER w > min(o_totalprice) OVER w
+         THEN (o_totalprice - min(o_totalprice) OVER w) / (max(o_totalprice) OVER w - min(o_totalprice) OVER w)
+         ELSE 0.0 END AS s
+  FROM orders WINDOW w AS (PARTITION BY o_orderpriority)),
+gq AS (SELECT *, CASE WHEN s IS NULL THEN NULL WHEN s <= 0.1 THEN 'low' WHEN s <= 0.9 THEN 'middle' ELSE 'high' END AS grp
+       FROM o),
+g AS (SELECT o_orderpriority, grp, count(*) AS n_g, avg(o_custkey) AS m, var_pop(o_custkey) AS v
+      FROM gq WHERE o_custkey IS NOT NULL AND grp IN ('low', 'high') GROUP BY ALL),
+t AS (SELECT *, sum(n_g) OVER (PARTITION BY o_orderpriority) AS n_all,
+             sum(n_g * m) OVER (PARTITION BY o_orderpriority) / sum(n_g) OVER (PARTITION BY o_orderpriority) AS grand FROM g),
+a AS (SELECT o_orderpriority, o_orderpriority AS id, sum(n_g * (m - grand) * (m - grand)) AS ssb, sum(n_g * v) AS ssw,
+             count(*) AS k, first(n_all) AS n FROM t GROUP BY o_orderpriority),
+fa AS (SELECT *, (ssb / (k - 1)) / (ssw / (n - k)) AS f, k - 1 AS d1, n - k AS d2 FROM a),
+""" + f_src("fa", "f", "d1", "d2", "src") + "," + betainc_ctes("src", "pv") + """
+SELECT fa.o_orderpriority, CAST(fa.k AS BIGINT) AS k, CAST(fa.n AS BIGINT) AS n, round(fa.f, 6) AS f, round(pv.p, 6) AS p
+FROM fa JOIN pv ON fa.id = pv.id
+"""
+
+SQL_REGRESSION_PIVOT_STARS = """
+WITH RECURSIVE g AS (
+  SELECT l_returnflag, CASE WHEN grouping(l_linestatus) = 0 THEN l_linestatus END AS row_minority,
+         CAST(l_linenumber AS VARCHAR) AS col, regr_slope(l_extendedprice, l_quantity) AS slope,
+         regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_syy(l_extendedprice, l_quantity) AS syy,
+         regr_count(l_extendedprice, l_quantity) AS n
+  FROM lineitem
+  GROUP BY GROUPING SETS ((l_returnflag, l_linenumber), (l_returnflag, l_linestatus, l_linenumber))),
+gi AS (SELECT *, concat_ws('|', l_returnflag, coalesce(row_minority, '~'), col) AS id,
+              slope / sqrt(greatest(syy - slope * slope * sxx, 0.0) / (n - 2) / sxx) AS t, n - 2 AS df FROM g),
+""" + t_src("gi", "t", "df", "src") + "," + betainc_ctes("src", "pv") + """,
+c AS (SELECT gi.l_returnflag, gi.row_minority, gi.col,
+             CASE WHEN gi.slope IS NULL THEN 'N/A'
+                  ELSE format('{:.3f}', gi.slope * 10) ||
+                       CASE WHEN pv.p <= 0.01 THEN '**' WHEN pv.p <= 0.05 THEN '*' ELSE '' END END AS cell
+      FROM gi LEFT JOIN pv ON gi.id = pv.id)
+SELECT l_returnflag, row_minority,
+""" + ",\n".join(f"  coalesce(max(CASE WHEN col = '{c}' THEN cell END), 'N/A') AS \"{c}\"" for c in _PIVOT_COLS) + """
+FROM c GROUP BY l_returnflag, row_minority
+"""
+
+ORACLE.update({
+    "ols_pvalues": SQL_OLS_PVALUES,
+    "corr_pvalues": SQL_CORR_PVALUES,
+    "anova_low_high": SQL_ANOVA_LOW_HIGH,
+    "regression_pivot_stars": SQL_REGRESSION_PIVOT_STARS,
+})
