@@ -27,6 +27,7 @@ from pyspark.sql.types import DoubleType
 
 from varietas.functions.hashing import hash_order, hash_u32
 from varietas.functions.text import subsample_name
+from varietas.session import cut_lineage
 
 # The alpha grid, repetitions and subsample size of a sweep.
 DEFAULT_ALPHAS = ("0.001", "0.005", "0.01", "0.05", "0.08", "0.1", "0.5", "1", "10", "100", "1000")
@@ -83,12 +84,13 @@ def allocate_uniform(caps: DataFrame, n_total: int, keys: Sequence[str] | None =
 
 
 def allocate_dirichlet(weights: DataFrame, caps: DataFrame, n_total: int, seed: int = 42,
-                       keys: Sequence[str] = ("subsample",)) -> DataFrame:
+                       keys: Sequence[str] = ("subsample",), carry: Sequence[str] = ()) -> DataFrame:
     """D3: n = min(floor(N*w), cap); the whole remainder goes to one random
     category with n + rem < cap (strict); if none can take it the subsample
     stays short.
 
-    ``weights``: (keys..., category, w); ``caps``: (category, cap).
+    ``weights``: (keys..., category, w); ``caps``: (category, cap).  ``carry``
+    names extra weight columns passed through unchanged.
     """
     k = list(keys)
     part = Window.partitionBy(*k)
@@ -100,7 +102,7 @@ def allocate_dirichlet(weights: DataFrame, caps: DataFrame, n_total: int, seed:
     a = a.withColumn("_pick", F.row_number().over(
         Window.partitionBy(*k, "_ok").orderBy(hash_order(seed, *k, "category"), "category")))
     extra = F.when(F.col("_ok") & (F.col("_pick") == 1) & (F.col("_rem") > 0), F.col("_rem")).otherwise(0)
-    return a.select(*k, "category", "cap", "w", (F.col("_n0") + extra).cast("long").alias("n"))
+    return a.select(*k, *carry, "category", "cap", "w", (F.col("_n0") + extra).cast("long").alias("n"))
 
 
 def draw(pool: DataFrame, allocation: DataFrame, n_total: int, seed: int = 42,
@@ -195,8 +197,8 @@ def create_subsets(pool: DataFrame, n_total: int = DEFAULT_N, alphas: Sequence[s
     base = pool.withColumn("category", F.col(category)) if category != "category" else pool
     caps_d = category_caps(base, include_null=False)
     weights = dirichlet_weights(caps_d, alphas, reps, seed)
-    alloc_d = allocate_dirichlet(weights, caps_d, n_total, seed).join(
-        weights.select("subsample", "alpha").distinct(), "subsample")
+    # alpha is constant within a subsample, so it rides along as a key
+    alloc_d = allocate_dirichlet(weights, caps_d, n_total, seed, carry=("alpha",))
 
     uni_pool = base.withColumn("category", F.coalesce(F.col("category"), F.lit("missing"))) \
         if include_missing_uniform else base
@@ -207,9 +209,12 @@ def create_subsets(pool: DataFrame, n_total: int = DEFAULT_N, alphas: Sequence[s
                              F.lit(None).cast("double").alias("w"), "n",
                              F.lit(float("inf")).alias("alpha"))
     alloc = alloc_d.select("subsample", "category", "cap", "w", "n", "alpha").unionByName(alloc_u)
-
-    m_d = draw(base, alloc_d.select("subsample", "category", "n"), n_total, seed, id_col)
-    m_u = draw(uni_pool, alloc_u.select("subsample", "category", "n"), n_total, seed, id_col)
+    # (subsamples x categories) rows, read by both draws and the final join:
+    # materialise once so the gamma draws and windows are not re-run
+    alloc = cut_lineage(alloc)
+    is_inf = F.col("alpha") == float("inf")
+    m_d = draw(base, alloc.where(~is_inf).select("subsample", "category", "n"), n_total, seed, id_col)
+    m_u = draw(uni_pool, alloc.where(is_inf).select("subsample", "category", "n"), n_total, seed, id_col)
     members = m_d.unionByName(m_u)
     members = members.join(F.broadcast(alloc.select("subsample", "alpha").distinct()), "subsample")
     return members, alloc
