@@ -49,13 +49,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     storage; it is only read here.  When it is unset (local tests) a scratch
     folder is created so ``DataFrame.checkpoint()`` works.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
+        sc = None
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="varietas-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    if sc is None:
+        return conf_dir
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 

@@ -35,8 +35,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     across task retries.
     """
     spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
+    try:
+        par = spark.sparkContext.defaultParallelism
+        n_parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave the scan as is
+        return df
+    if n_parts < par:
         # hash partitioning on the key with the shuffle partition count, so a
         # later join or aggregation on the same key reuses it (no second shuffle)
         return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
