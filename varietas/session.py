@@ -8,6 +8,7 @@ checkpoint dir, broadcast thresholds) always wins.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -38,6 +39,37 @@ def get_spark(master: str | None = None, app: str = "varietas",
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    prepare(spark)
+    return spark
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``varietas`` importable in the Python workers of every executor.
+
+    Pandas UDFs refer to functions of this package; the workers import them.
+    The package is zipped once per SparkContext and handed to ``addPyFile``,
+    which distributes it to all executors (the programmatic ``--py-files``).
+    """
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: ship with the client's artifacts instead
+        return
+    if id(sc) in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="varietas-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "varietas"), "zip", root_dir=os.path.dirname(pkg),
+                                  base_dir=os.path.basename(pkg))
+    sc.addPyFile(archive)
+    _SHIPPED.add(id(sc))
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Ship the package to the workers and make sure a checkpoint folder is set."""
+    ship_package(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
