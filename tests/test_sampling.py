@@ -104,3 +104,20 @@ def test_create_subsets_names_and_sizes(spark):
     assert all(n == 100 for n, _ in subs.values())
     assert subs["alpha_inf_idx_1"][1] == float("inf")
     assert members.groupBy("subsample", "doc_id").count().where("count > 1").count() == 0
+
+
+def test_single_category_and_unplaceable_remainder(spark):
+    one = spark.createDataFrame([("only", 40)], "category string, cap long")
+    assert [r["n"] for r in sampling.allocate_uniform(one, 25).collect()] == [25]
+    caps = spark.createDataFrame([("a", 10), ("b", 10)], "category string, cap long")
+    w = spark.createDataFrame([("s", "a", 0.5), ("s", "b", 0.5)], "subsample string, category string, w double")
+    got = {r["category"]: r["n"] for r in sampling.allocate_dirichlet(w, caps, 100).collect()}
+    # floor(50) capped at 10 each; the remainder 80 fits nowhere -> the subsample stays short
+    assert got == {"a": 10, "b": 10}
+
+
+def test_random_sample_is_a_stable_top_k(spark):
+    df = spark.range(0, 1000).select(F.col("id").alias("doc_id"))
+    a = [r["doc_id"] for r in sampling.random_sample(df, 20).collect()]
+    b = [r["doc_id"] for r in sampling.random_sample(df.repartition(7), 20).collect()]
+    assert len(a) == 20 and sorted(a) == sorted(b)

@@ -91,3 +91,10 @@ def test_p_values():
     assert abs(t_two_sided(2.0, 10) - 0.07338803477074924) < 1e-12
     assert abs(t_two_sided(-1.5, 34) - 0.142843964) < 1e-8
     assert abs(f_upper(3.0, 2, 20) - 0.072538150) < 1e-8
+
+
+def test_one_class_suite_metrics(spark):
+    pred = spark.createDataFrame([("FactualTest", "m", None, None, 0, p) for p in (0, 0, 1, 0)],
+                                 "test string, model string, category string, category_minority string, label int, pred int")
+    r = stats.group_metrics(pred).collect()[0]
+    assert r["MCC"] == 0.0 and r["F1"] == 0.0 and r["Accuracy"] == 0.75

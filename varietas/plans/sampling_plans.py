@@ -226,7 +226,19 @@ def q_subsample_scores(spark, sf_dir):
     return subsample_scores(spark, sf_dir)
 
 
+def q_random_docs(spark, sf_dir):
+    """50 documents in md5 order (a top-k, not a full sort)."""
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", "source")
+    return sampling.random_sample(d, 50, SEED)
+
+
+SQL_RANDOM_DOCS = """
+SELECT doc_id, source FROM documents ORDER BY md5(concat_ws('|', '42', doc_id)), doc_id LIMIT 50
+"""
+
+
 QUERIES = {
+    "random_docs": q_random_docs,
     "corpus_rated": q_corpus_rated,
     "unrated_sources": q_unrated_sources,
     "uniform_allocation": q_uniform_allocation,
@@ -240,6 +252,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "random_docs": SQL_RANDOM_DOCS,
     "corpus_rated": SQL_CORPUS_RATED,
     "unrated_sources": SQL_UNRATED_SOURCES,
     "uniform_allocation": SQL_UNIFORM_ALLOCATION,
