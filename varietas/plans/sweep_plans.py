@@ -61,8 +61,9 @@ def uniform_train(spark, sf_dir, reps: int = 3):
 def nb_predictions(spark, sf_dir):
     train, test = uniform_train(spark, sf_dir)
     toks = fx.doc_texts(spark, sf_dir)
-    model, classes = sweep.train_nb(train, toks)
-    model, classes = cut_lineage(model), cut_lineage(classes)
+    model, _ = sweep.train_nb(train, toks)
+    model = cut_lineage(model)
+    classes = cut_lineage(sweep.class_table(train, model))
     return sweep.predict_nb(model, classes, test, toks), classes
 
 
@@ -170,8 +171,9 @@ def sweep_results(spark, sf_dir) -> DataFrame:
     scores = diversity.score_table(diversity.vendi_features(members, ["subsample"]))
     train = members.where(F.col("label").isNotNull()).select("subsample", "doc_id", "label")
     toks = fx.doc_texts(spark, sf_dir)
-    model, classes = sweep.train_nb(train, toks)
-    model, classes = cut_lineage(model), cut_lineage(classes)
+    model, _ = sweep.train_nb(train, toks)
+    model = cut_lineage(model)
+    classes = cut_lineage(sweep.class_table(train, model))
     pred = sweep.predict_nb(model, classes, test, toks)
     m = stats.binary_metrics(pred, ["subsample"])
     res = joins.attach(m, scores, ["subsample"])
