@@ -252,7 +252,21 @@ SELECT count(*) AS rows_before, CAST(count_if(text IS NULL) AS BIGINT) AS null_t
 """
 
 
+def q_annotator_mean(spark, sf_dir):
+    """Mean label per (item, unit) over its annotations (events: user x type)."""
+    e = fx.table(spark, sf_dir, "events")
+    return e.groupBy(F.col("user_id").alias("article"), F.col("event_type").alias("sentence")).agg(
+        R6(F.avg("value")).alias("mean_label"), F.count("*").alias("n_annotations"))
+
+
+SQL_ANNOTATOR_MEAN = """
+SELECT user_id AS article, event_type AS sentence, round(avg(value), 6) AS mean_label, count(*) AS n_annotations
+FROM events GROUP BY user_id, event_type
+"""
+
+
 QUERIES = {
+    "annotator_mean": q_annotator_mean,
     "ols_by_group": q_ols_by_group,
     "ols_pvalues": q_ols_pvalues,
     "corr_by_group": q_corr_by_group,
@@ -272,6 +286,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "annotator_mean": SQL_ANNOTATOR_MEAN,
     "ols_by_group": SQL_OLS_BY_GROUP,
     "corr_by_group": SQL_CORR_BY_GROUP,
     "anova_groups": SQL_ANOVA_GROUPS,
