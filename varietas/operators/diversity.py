@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType, StructField,
+from pyspark.sql.types import (DoubleType, IntegerType, LongType, StructField,
                                StructType)
 
 MAX_FEATURE_GROUPS = 5_000

@@ -4,13 +4,11 @@ labels, c_v coherence, k-means topics and 2-D projection (X1-X3, X5-X8, X10, O2)
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from varietas.operators.diversity import gram_partials
 from varietas.session import cut_lineage
