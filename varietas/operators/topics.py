@@ -15,7 +15,7 @@ from varietas.session import cut_lineage
 
 
 def term_counts(doc_tokens: DataFrame, doc_topic: DataFrame, topic: str = "topic_nr",
-                tokens: str = "tokens") -> DataFrame:
+                tokens: str = "tokens", ngram_max: int = 1, stop_words: DataFrame | None = None) -> DataFrame:
     """(topic, term, tf): term counts per topic over whole texts (NULL topics dropped).
 
     ``doc_tokens`` holds (doc_id, tokens) or (doc_id, text); texts are joined to
@@ -25,6 +25,14 @@ def term_counts(doc_tokens: DataFrame, doc_topic: DataFrame, topic: str = "topic
     if tokens not in doc_tokens.columns:
         from varietas.functions.text import tokenize
         t = t.withColumn(tokens, tokenize("text"))
+    if stop_words is not None:
+        # stop words leave before n-grams are formed; the list is one bounded row
+        sw = stop_words.agg(F.collect_set("word").alias("_sw"))
+        t = t.crossJoin(F.broadcast(sw)).withColumn(
+            tokens, F.filter(tokens, lambda w: ~F.array_contains(F.col("_sw"), w))).drop("_sw")
+    if ngram_max > 1:
+        from varietas.functions.text import ngrams
+        t = t.withColumn(tokens, ngrams(tokens, ngram_max))
     # explode_outer + null filter: an inner explode makes the optimizer infer
     # size(tokens) > 0 and push that second tokenization down to the scan
     return (t.select(topic, F.explode_outer(tokens).alias("term")).where(F.col("term").isNotNull())

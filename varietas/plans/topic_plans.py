@@ -132,7 +132,41 @@ def q_reassigned_topics(spark, sf_dir):
     return r.groupBy("topic_nr_orig", "topic_nr").agg(F.count("*").alias("n"))
 
 
+def q_top_bigrams(spark, sf_dir):
+    """X1 options + X2 + O2: 1..2-grams after removing stop words; stop words
+    are the tokens found in at least half of all documents."""
+    stop = fx.frequent_tokens(spark, sf_dir, min_df=0.5)
+    counts = topics.term_counts(fx.doc_texts(spark, sf_dir), fx.doc_topic(spark, sf_dir), ngram_max=2,
+                                stop_words=stop)
+    tw = topics.top_words(topics.c_tf_idf(counts), k=10)
+    return tw.select("topic_nr", "rank", "term", R6("weight").alias("weight"))
+
+
+SQL_TOP_BIGRAMS = r"""
+WITH ndocs AS (SELECT count(*) AS n FROM documents),
+dtok AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'))) AS word FROM documents),
+stop AS (SELECT word FROM dtok GROUP BY word HAVING count(*) >= 0.5 * (SELECT n FROM ndocs)),
+sw AS (SELECT coalesce(list(word), []) AS sw FROM stop),
+dt AS (SELECT e.label AS topic_nr,
+              list_filter(regexp_extract_all(lower(d.text), '[\p{L}\p{N}_]{2,}'), lambda w: NOT list_contains(sw.sw, w)) AS t
+       FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id CROSS JOIN sw WHERE e.label IS NOT NULL),
+g AS (SELECT topic_nr, t || CASE WHEN len(t) >= 2
+                               THEN list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1])
+                               ELSE [] END AS grams FROM dt),
+toks AS (SELECT topic_nr, unnest(grams) AS term FROM g),
+tf AS (SELECT topic_nr, term, count(*) AS tf FROM toks GROUP BY ALL),
+pt AS (SELECT topic_nr, CAST(sum(tf) AS BIGINT) AS words FROM tf GROUP BY ALL),
+aa AS (SELECT floor(avg(words)) AS a FROM pt),
+pf AS (SELECT term, CAST(sum(tf) AS BIGINT) AS f FROM tf GROUP BY ALL),
+w AS (SELECT tf.topic_nr, tf.term, (tf.tf / pt.words) * ln(aa.a / pf.f + 1.0) AS weight
+      FROM tf JOIN pt ON tf.topic_nr = pt.topic_nr JOIN pf ON tf.term = pf.term CROSS JOIN aa),
+r AS (SELECT *, row_number() OVER (PARTITION BY topic_nr ORDER BY weight DESC, term) AS rank FROM w)
+SELECT topic_nr, CAST(rank AS INTEGER) AS rank, term, round(weight, 6) AS weight FROM r WHERE rank <= 10
+"""
+
+
 QUERIES = {
+    "top_bigrams": q_top_bigrams,
     "reassigned_topics": q_reassigned_topics,
     "c_tf_idf": q_c_tf_idf,
     "top_words": q_top_words,
@@ -146,6 +180,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "top_bigrams": SQL_TOP_BIGRAMS,
     "c_tf_idf": SQL_C_TF_IDF,
     "top_words": SQL_TOP_WORDS,
     "topic_labels": SQL_TOPIC_LABELS,
