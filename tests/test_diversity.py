@@ -43,13 +43,14 @@ def test_distance_profile_blocks_equal_numpy(spark):
     rng = np.random.default_rng(11)
     x = rng.normal(size=(70, 5))
     df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(70)], "doc_id int, embedding array<double>")
-    s = distances.distance_summary(df, "cosine", block_rows=16).collect()[0]
+    # small blocks and chunks: several block pairs, several chunks per pair
+    s = distances.distance_summary(df, "cosine", block_rows=16, chunk_rows=5).collect()[0]
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     d = (1 - u @ u.T)[np.triu_indices(70, 1)]
     assert s["n_pairs"] == d.size
     assert abs(s["mean"] - d.mean()) < 1e-9 and abs(s["std"] - d.std()) < 1e-9
     assert abs(s["min"] - d.min()) < 1e-12 and abs(s["max"] - d.max()) < 1e-12
-    h = {r["bin"]: r["n"] for r in distances.distance_histogram(df, "cosine", bins=10, block_rows=16).collect()}
+    h = {r["bin"]: r["n"] for r in distances.distance_histogram(df, "cosine", bins=10, block_rows=16, chunk_rows=5).collect()}
     ref, _ = np.histogram(d, bins=10, range=(d.min(), d.max()))
     assert [h.get(i, 0) for i in range(10)] == list(ref)
 
