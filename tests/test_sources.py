@@ -35,11 +35,14 @@ def test_subsample_sink_round_trip_and_keyed_folder(spark):
     io.write_subsamples(m, s, d)
     back = spark.read.parquet(f"{d}/members").where(F.col("subsample") == "alpha_inf_idx_1")
     assert [r["doc_id"] for r in back.collect()] == [2]
-    r = spark.createDataFrame([("x", 0.5, 1.0)], "subsample string, mcc double, vs double")
-    io.write_table(r, f"{d}/csv/results_babe_topic.csv", fmt="csv")
-    keyed = io.scan_folder_keyed(spark, f"{d}/csv/results_babe_topic.csv", "subsample string, mcc double, vs double",
-                                 pattern="*.csv", key_regex=r"^()()")
-    assert keyed.count() == 1
+    csv_dir = os.path.join(d, "results")
+    os.makedirs(csv_dir)
+    for name, rows in (("results_small_topic.csv", ["x,0.5,1.0", "y,0.25,2.0"]), ("results_large_source.csv", ["z,0.1,3.0"])):
+        with open(os.path.join(csv_dir, name), "w") as f:
+            f.write("subsample,mcc,vs\n" + "\n".join(rows) + "\n")
+    keyed = io.scan_folder_keyed(spark, csv_dir, "subsample string, mcc double, vs double")
+    got = sorted((r["subsample"], r["dataset"], r["dimension"]) for r in keyed.collect())
+    assert got == [("x", "small", "topic"), ("y", "small", "topic"), ("z", "large", "source")]
 
 
 def test_template_store(spark):

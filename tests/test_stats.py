@@ -25,7 +25,7 @@ SMALL_SOURCE = [
 
 
 def _sweep(spark):
-    return spark.createDataFrame([("babe", "source", v, m) for v, m in SMALL_SOURCE],
+    return spark.createDataFrame([("small", "source", v, m) for v, m in SMALL_SOURCE],
                                  "dataset string, dimension string, vs double, mcc double")
 
 
