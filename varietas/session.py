@@ -29,6 +29,13 @@ _DEFAULTS = {
 def get_spark(master: str | None = None, app: str = "varietas",
               shuffle_partitions: int | None = None,
               extra: dict[str, str] | None = None) -> SparkSession:
+    """Return the active session (filling in only unset defaults) or build one."""
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        for k, v in _DEFAULTS.items():
+            if k.startswith("spark.sql.") and active.conf.get(k, None) is None:
+                active.conf.set(k, v)
+        return prepare(active)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
