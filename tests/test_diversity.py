@@ -61,3 +61,17 @@ def test_score_table_alpha_and_normalisation(spark):
     got = {r["subsample"]: r for r in diversity.score_table(df).collect()}
     assert got["alpha_0_05_idx_2"]["alpha"] == 0.05 and got["alpha_inf_idx_1"]["alpha"] == float("inf")
     assert got["alpha_1000_idx_3"]["normalized_vs"] == 0.5
+
+
+def test_distance_quantiles_exact(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 4))
+    x[5] = x[6]  # a duplicate pair gives a zero distance
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(60)], "doc_id int, embedding array<double>")
+    probs = [round(i / 10, 1) for i in range(11)]
+    got = {r["q"]: r["value"] for r in
+           distances.distance_quantiles(df, probs, "cosine", bins=64, block_rows=16, chunk_rows=7).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = (1 - u @ u.T)[np.triu_indices(60, 1)]
+    for q in probs:
+        assert abs(got[q] - np.percentile(d, q * 100)) < 1e-12

@@ -113,7 +113,24 @@ FROM pairs, mm GROUP BY 1
 """
 
 
+_DECILES = [round(i / 10, 1) for i in range(11)]
+
+
+def q_distance_deciles(spark, sf_dir):
+    """V7 + A7: exact deciles of all pairwise cosine distances (pairs never emitted)."""
+    q = distances.distance_quantiles(fx.embedding(spark, sf_dir), _DECILES, metric="cosine")
+    return q.select("q", F.round("value", 6).alias("value"))
+
+
+SQL_DISTANCE_DECILES = _SQL_PAIRS + """
+SELECT unnest([""" + ", ".join(f"CAST({x} AS DOUBLE)" for x in _DECILES) + """]) AS q,
+       round(unnest(quantile_cont(d, [""" + ", ".join(str(x) for x in _DECILES) + """])), 6) AS value
+FROM pairs
+"""
+
+
 QUERIES = {
+    "distance_deciles": q_distance_deciles,
     "topic_gram": q_topic_gram,
     "topic_vendi": q_topic_vendi,
     "vector_vendi_curve": q_vector_vendi_curve,
@@ -123,6 +140,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "distance_deciles": SQL_DISTANCE_DECILES,
     "topic_gram": SQL_TOPIC_GRAM,
     "radius_sample": SQL_RADIUS_SAMPLE,
     "distance_profile": SQL_DISTANCE_PROFILE,
