@@ -63,7 +63,7 @@ def nb_predictions(spark, sf_dir):
     toks = fx.doc_texts(spark, sf_dir)
     model, _ = sweep.train_nb(train, toks)
     model = cut_lineage(model)
-    classes = cut_lineage(sweep.class_table(train, model))
+    classes = sweep.class_table(train, model)  # both inputs are materialised; a cheap aggregate
     return sweep.predict_nb(model, classes, test, toks), classes
 
 
@@ -173,7 +173,7 @@ def sweep_results(spark, sf_dir) -> DataFrame:
     toks = fx.doc_texts(spark, sf_dir)
     model, _ = sweep.train_nb(train, toks)
     model = cut_lineage(model)
-    classes = cut_lineage(sweep.class_table(train, model))
+    classes = sweep.class_table(train, model)  # both inputs are materialised; a cheap aggregate
     pred = sweep.predict_nb(model, classes, test, toks)
     m = stats.binary_metrics(pred, ["subsample"])
     res = joins.attach(m, scores, ["subsample"])
