@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from varietas.llm import queries_layout
+import corpus_pipeline
+from varietas.llm import queries_filter, queries_layout, queries_models, queries_scan
 
-_MODULES = [queries_layout]
+_MODULES = [queries_scan, queries_filter, queries_layout, queries_models]
 
 
 def queries():
-    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return {k: v for m in _MODULES for k, v in m.ORACLE.items()}
+    sql = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
