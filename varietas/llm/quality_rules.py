@@ -181,7 +181,7 @@ def drop_lines(text: bytes, removed: set[int]) -> bytes:
 
 def _clean_texts(texts, removed):
     import pandas as pd
-    return pd.Series([t if not len(r) else drop_lines(bytes(t), set(int(x) for x in r))
+    return pd.Series([None if t is None else drop_lines(bytes(t), set(int(x) for x in r))
                       for t, r in zip(texts, removed)], dtype=object)
 
 
@@ -199,6 +199,7 @@ def apply_rules(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     rows = docs.withColumn(th, F.xxhash64(text_col))
     met = rows.join(verdict, F.col(id_col).eqNullSafe(F.col("_vid")) & (F.col(th) == F.col("_vhash")))
     clean = F.pandas_udf(_clean_texts, "binary")
-    new = F.when(F.size("_removed") > 0, clean(F.col(text_col).cast("binary"), F.col("_removed")).cast("string")
+    some = F.size("_removed") > 0     # only these texts travel to Python
+    new = F.when(some, clean(F.when(some, F.col(text_col).cast("binary")), F.col("_removed")).cast("string")
                  ).otherwise(F.col(text_col))
     return met.select(*[(new if c == text_col else F.col(c)).alias(c) for c in docs.columns])

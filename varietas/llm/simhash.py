@@ -27,6 +27,8 @@ SEGMENTS = (22, 21, 21)
 _GENERATOR = 0b101011100011   # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, the Golay generator polynomial
 #: Largest group whose fingerprints are compared with each other; larger ones go through :func:`_midpoints`.
 GROUP = 64
+#: A fingerprint of more than 1 / HOT_SHARE of all rows is joined by broadcast (there are fewer than HOT_SHARE of them).
+HOT_SHARE = 1000
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -240,14 +242,22 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     fingerprint, groups of at most 65), so no key emits its pairs.
     """
     docs_fp = cut(fingerprints(docs, text_col, id_col, shingle))
-    nodes = cut(docs_fp.groupBy("fp").agg(F.min("id").alias("low")))
+    nodes = cut(docs_fp.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")))
     label = components(links(nodes, max_distance))
     linked = label.join(nodes, F.col("node") == F.col("fp")).select("node", "label", "low")
     roots = linked.groupBy("label").agg(F.min("low").alias("component_id"))
     of_fp = linked.select("node", "label").join(roots, "label").select(F.col("node"), "component_id")
-    lowest = nodes.join(of_fp, F.col("fp") == F.col("node"), "left").select(
-        F.col("fp").alias("_fp"), F.coalesce("component_id", "low").alias("component_id"))
-    return docs_fp.join(lowest, F.col("fp") == F.col("_fp")).select("id", "text_hash", "fp", "component_id")
+    lowest = cut(nodes.join(of_fp, F.col("fp") == F.col("node"), "left").select(
+        F.col("fp").alias("_fp"), F.coalesce("component_id", "low").alias("component_id"), "n"))
+    # fingerprints of more than a thousandth of all rows: below a thousand, so they may be broadcast
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") * HOT_SHARE > total
+    hot = lowest.where(often).select(F.col("_fp").alias("_hot"), F.col("component_id").alias("_hot_id"))
+    met = docs_fp.join(F.broadcast(hot), F.col("fp") == F.col("_hot"), "left")
+    common = met.where(F.col("_hot").isNotNull()).select("id", "text_hash", "fp", F.col("_hot_id").alias("component_id"))
+    rare = met.where(F.col("_hot").isNull()).select("id", "text_hash", "fp")
+    return common.unionByName(rare.join(lowest.where(~often), F.col("fp") == F.col("_fp"))
+                              .select("id", "text_hash", "fp", "component_id"))
 
 
 def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3,
