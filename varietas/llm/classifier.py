@@ -166,6 +166,7 @@ def score(docs: DataFrame, model: Model, keep: dict[str, Column], text_col: str
     """
     rows = docs.select(*[c.alias(f"k{i}") for i, c in enumerate(keep.values())], F.col(text_col).cast("binary").alias("t"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = [f"k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,9 +181,8 @@ def score(docs: DataFrame, model: Model, keep: dict[str, Column], text_col: str
                 starts = np.cumsum([0] + [len(g[0]) for g in got[:-1]])
                 out.append(_sigmoid(raw_scores(sent.value, np.concatenate([np.array(g[0], np.int64) for g in got]),
                                                np.concatenate([np.array(g[1]) for g in got]), starts)))
-            yield pa.RecordBatch.from_arrays([b.column(f"k{i}") for i in range(len(keep))]
-                                             + [pa.array(np.concatenate(out) if out else np.zeros(0))],
-                                             [f"k{i}" for i in range(len(keep))] + ["score"])
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in names] + [pa.array(np.concatenate(out) if out else np.zeros(0))],
+                                             [*names, "score"])
 
-    schema = ", ".join([f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))] + ["score double"])
+    schema = ", ".join([f"{k} {rows.schema[k].dataType.simpleString()}" for k in names] + ["score double"])
     return rows.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(n) for i, n in enumerate(keep)], "score")

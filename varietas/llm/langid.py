@@ -278,6 +278,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: dict[st
     keep = keep if keep is not None else {c: F.col(c) for c in docs.columns if c != text_col}
     rows = docs.select(*[c.alias(f"k{i}") for i, c in enumerate(keep.values())], F.col(text_col).cast("binary").alias("t"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = [f"k{i}" for i in range(len(keep))]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
@@ -311,10 +312,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: dict[st
                     preds.append(m.langs[best])
                     scores.append(float(1 / np.exp(total - total[best]).sum()))
             yield pa.RecordBatch.from_arrays(
-                [b.column(f"k{i}") for i in range(len(keep))] + [pa.array(preds, pa.string()), pa.array(scores, pa.float64())],
-                [f"k{i}" for i in range(len(keep))] + ["lang_pred", "score"])
+                [b.column(k) for k in names] + [pa.array(preds, pa.string()), pa.array(scores, pa.float64())],
+                [*names, "lang_pred", "score"])
 
-    schema = ", ".join([f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))]
+    schema = ", ".join([f"{k} {rows.schema[k].dataType.simpleString()}" for k in names]
                        + ["lang_pred string", "score double"])
     return rows.mapInArrow(score, schema).select(
         *[F.col(f"k{i}").alias(n) for i, n in enumerate(keep)], "lang_pred", "score")
