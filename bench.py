@@ -13,7 +13,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from varietas.plans import embedding_plans, sampling_plans, stats_plans, sweep_plans, topic_plans  # noqa: E402
+from varietas.plans import embedding_plans, sampling_plans, stats_plans, suite_plans, sweep_plans, topic_plans  # noqa: E402
 from varietas.session import get_spark  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -36,6 +36,8 @@ HEADLINE = {
     "corr_by_group": stats_plans.q_corr_by_group,
     # Exact deciles on lineitem
     "price_deciles": stats_plans.q_price_deciles,
+    # E1 + B2 + T2 + J7: location variants of the held-out documents, scored by every model
+    "location_suite": suite_plans.q_location_suite,
 }
 
 

@@ -34,11 +34,11 @@ def test_pronouns_capitalised_at_start(spark):
 
 
 def test_upsert_null_keys_keep_last(spark):
-    old = spark.createDataFrame([("T", "m", None, None, 0.1), ("T", "m", "c", "x", 0.2)],
-                                "test string, model string, category string, category_minority string, Accuracy double")
-    new = spark.createDataFrame([("T", "m", None, None, 0.9)],
-                                "test string, model string, category string, category_minority string, Accuracy double")
-    r = {(x["category"], x["category_minority"]): x["Accuracy"] for x in suites.upsert_results(old, new).collect()}
+    schema = "test string, model string, category string, category_minority string, Accuracy double, pos int"
+    old = spark.createDataFrame([("T", "m", None, None, 0.1, 9), ("T", "m", "c", "x", 0.2, 1)], schema)
+    new = spark.createDataFrame([("T", "m", None, None, 0.9, 2), ("T", "m", None, None, 0.5, 1)], schema)
+    r = {(x["category"], x["category_minority"]): x["Accuracy"]
+         for x in suites.upsert_results(old, new, order_col="pos").collect()}
     assert r == {(None, None): 0.9, ("c", "x"): 0.2}
 
 

@@ -1,7 +1,7 @@
 """P-values of t and F statistics (SciPy is not available).
 
 The regularised incomplete beta function I_x(a, b) is evaluated with the
-continued fraction of the incomplete beta (modified Lentz method).  These run in
+continued fraction of DLMF 8.17.22.  These run in
 Arrow-batched pandas UDFs on aggregated rows only (one row per group), never on
 data rows.
 """
@@ -17,43 +17,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-def _betacf(a: float, b: float, x: float) -> float:
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 10_000):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < 1e-16:
-            break
-    return h
+def _continued_fraction(a: float, b: float, x: float) -> float:
+    """1 / (1 + d1 / (1 + d2 / (1 + ...))) of DLMF 8.17.22, from the innermost kept term outwards.
+
+    For x below (a + 1) / (a + b + 2) the terms needed grow with the square root of max(a, b).
+    """
+    depth = 64 + 8 * math.isqrt(int(max(a, b)) + 1)
+    tail = 1.0
+    for k in range(depth, 0, -1):
+        m = k // 2
+        if k % 2:
+            term = -(a + m) * (a + b + m) / ((a + 2 * m) * (a + 2 * m + 1))
+        else:
+            term = m * (b - m) / ((a + 2 * m - 1) * (a + 2 * m))
+        tail = 1.0 + term * x / tail
+    return 1.0 / tail
 
 
 def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    front = math.exp(lbeta + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
+    """Regularised incomplete beta I_x(a, b); beyond the peak by I_x(a, b) = 1 - I_{1-x}(b, a)."""
+    if x <= 0.0 or x >= 1.0:
+        return float(x >= 1.0)
+    if x * (a + b + 2.0) > a + 1.0:
+        return 1.0 - _lower(b, a, 1.0 - x)
+    return _lower(a, b, x)
+
+
+def _lower(a: float, b: float, x: float) -> float:
+    log_power = a * math.log(x) + b * math.log1p(-x)
+    log_norm = math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+    return math.exp(log_power - log_norm) * _continued_fraction(a, b, x) / a
 
 
 def t_two_sided(t: float, df: float) -> float:

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (DoubleType, IntegerType, LongType, StructField,
                                StructType)
 
+from varietas.session import cut_lineage
+
 MAX_FEATURE_GROUPS = 5_000
 MAX_DIM = 2_048
 
@@ -200,6 +202,15 @@ def gram_table(df: DataFrame, keys: Sequence[str] = (), vec: str = "embedding")
     return gram_partials(u, keys).groupBy(*keys, "i", "j").agg(F.sum("g").alias("g"))
 
 
+def vendi2_from_gram(gram: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Order-2 score from a Gram table (upper triangle and count row): 1 / sum (g / n)^2.  Output keys, vs2, n."""
+    keys = list(keys)
+    body, size = F.col("i") >= 0, F.sum(F.when(F.col("i") < 0, F.col("g")))
+    twice = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
+    agg = gram.groupBy(*keys).agg(F.sum(F.when(body, twice * F.col("g") * F.col("g"))).alias("_s"), size.alias("_n"))
+    return agg.select(*keys, (F.col("_n") * F.col("_n") / F.col("_s")).alias("vs2"), F.col("_n").cast("long").alias("n"))
+
+
 def vendi_cosine(df: DataFrame, keys: Sequence[str] = (), vec: str = "embedding",
                  q: float = 1.0) -> DataFrame:
     """V2 / V3: Vendi score with cosine similarity, per key.  Output keys, vs, n."""
@@ -234,14 +245,17 @@ def vendi_kernel_weights(weights: DataFrame, kernel: DataFrame, keys: Sequence[s
 
     ``weights``: (keys..., item, cnt); ``kernel``: (item_i, item_j, k) for all
     ordered pairs.  Used for topic subsamples: every member of a topic shares the
-    topic vector, so only the t x t topic kernel and the counts matter.
+    topic vector, so only the t x t topic kernel and the counts matter.  A pair
+    without a kernel entry is an error.
     """
     keys = list(keys)
     wi = weights.select(*keys, F.col(item).alias("item_i"), F.col("cnt").alias("c_i"))
     wj = weights.select(*keys, F.col(item).alias("item_j"), F.col("cnt").alias("c_j"))
-    pairs = (wi.join(wj, keys)
-             .join(F.broadcast(kernel.select("item_i", "item_j", "k")), ["item_i", "item_j"], "left")
-             .fillna({"k": 0.0}))
+    known = kernel.select("item_i", "item_j", "k").withColumn("_known", F.lit(True))
+    pairs = wi.join(wj, keys).join(known, ["item_i", "item_j"], "left")
+    lost = F.raise_error(F.concat(F.lit("no kernel entry for items "), F.col("item_i").cast("string"), F.lit(", "),
+                                  F.col("item_j").cast("string"))).cast("double")
+    pairs = pairs.withColumn("k", F.when(F.col("_known"), F.col("k")).otherwise(lost)).drop("_known")
     key_fields = [f for f in pairs.schema.fields if f.name in keys]
     schema = StructType(key_fields + [StructField("vs", DoubleType()), StructField("n", LongType())])
 
@@ -292,42 +306,61 @@ def l2_expr(a, b):
                               lambda s, x: s + x))
 
 
+ANCHOR_BATCH = 1024   # anchors per broadcast: 1024 x 512 dimensions are 4 MB
+
+
 def within_radius(points: DataFrame, anchors: DataFrame, radius: float, metric: str = "cosine",
-                  vec: str = "embedding", id_col: str = "doc_id", max_anchors: int = 64) -> DataFrame:
+                  vec: str = "embedding", id_col: str = "doc_id") -> DataFrame:
     """(anchor_id, id, dist) for every point within ``radius`` of an anchor.
 
-    Anchors are a bounded set (``max_anchors`` rows, enforced by limit at the
-    caller); each point is compared with each anchor in one broadcast
-    nested-loop pass, no shuffle of the points.
+    Any number of anchors: they are counted and dealt by hash into batches of about
+    ``ANCHOR_BATCH`` rows, each compared with every point in one broadcast
+    nested-loop pass; the points are never shuffled.
     """
     a = anchors.select(F.col(id_col).alias("anchor_id"), F.col(vec).cast("array<double>").alias("_a"))
     p = points.select(id_col, F.col(vec).cast("array<double>").alias("_p"))
-    pairs = p.crossJoin(F.broadcast(a.limit(max_anchors)))
-    if metric == "cosine":
-        dist = 1.0 - cosine_expr(F.col("_p"), F.col("_a"))
-    else:
-        dist = l2_expr(F.col("_p"), F.col("_a"))
-    return pairs.select("anchor_id", id_col, dist.alias("dist")).where(F.col("dist") <= radius)
-
-
-def radius_sample(points: DataFrame, n: int, radius: float, seed: int = 42, n_anchors: int = 20,
+    batches = max(1, -(-a.count() // ANCHOR_BATCH))
+    out = None
+    for b in range(batches):
+        own = a if batches == 1 else a.where(F.pmod(F.xxhash64("anchor_id"), F.lit(batches)) == b)
+        pairs = p.crossJoin(F.broadcast(own))
+        dist = 1.0 - cosine_expr(F.col("_p"), F.col("_a")) if metric == "cosine" else l2_expr(F.col("_p"), F.col("_a"))
+        near = pairs.select("anchor_id", id_col, dist.alias("dist")).where(F.col("dist") <= radius)
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
+def radius_sample(points: DataFrame, n: int, radius: float, seed: int = 42, batch: int = 32,
                   metric: str = "cosine", vec: str = "embedding", id_col: str = "doc_id") -> DataFrame:
     """First anchor (md5 order) with >= n points within r; n of them in md5 order.
 
-    Finite version of the retry loop: ``n_anchors`` candidates are tried at
-    once.  No anchor qualifies -> empty result.
+    Candidates are tried ``batch`` at a time (doubling) until one qualifies or all points
+    were tried.  If none qualifies, one status row has NULL ids and the largest number
+    of points within the radius of any anchor.
     """
     from varietas.functions.hashing import hash_order
 
-    anchors = (points.withColumn("_h", hash_order(seed, F.lit("anchor"), id_col))
-               .orderBy("_h", id_col).limit(n_anchors)
-               .withColumn("anchor_rank", F.row_number().over(Window.orderBy("_h", id_col))))
-    near = within_radius(points, anchors, radius, metric, vec, id_col, n_anchors)
-    counts = near.groupBy("anchor_id").agg(F.count("*").alias("n_within"))
-    best = (counts.where(F.col("n_within") >= n)
-            .join(anchors.select(F.col(id_col).alias("anchor_id"), "anchor_rank"), "anchor_id")
-            .orderBy("anchor_rank").limit(1))
-    chosen = near.join(F.broadcast(best.select("anchor_id", "n_within")), "anchor_id")
+    tried, best_seen = None, 0
+    order = points.withColumn("_h", hash_order(seed, F.lit("anchor"), id_col))
+    while True:
+        rest = order if tried is None else order.where(
+            (F.col("_h") > tried[0]) | ((F.col("_h") == tried[0]) & (F.col(id_col) > tried[1])))
+        anchors = cut_lineage(rest.orderBy("_h", id_col).limit(batch))
+        last = anchors.agg(F.max(F.struct("_h", id_col)).alias("m")).first()["m"]
+        if last is None:
+            kind = {f.name: f.dataType.simpleString() for f in points.schema.fields}[id_col]
+            return points.sparkSession.createDataFrame([(None, None, None, best_seen)],
+                                                       f"anchor_id {kind}, {id_col} {kind}, dist double, n_within long")
+        near = within_radius(points, anchors, radius, metric, vec, id_col)
+        counts = cut_lineage(near.groupBy("anchor_id").agg(F.count("*").alias("n_within")).join(
+            anchors.select(F.col(id_col).alias("anchor_id"), "_h"), "anchor_id"))   # at most ``batch`` rows
+        best_seen = max(best_seen, counts.agg(F.max("n_within")).first()[0] or 0)
+        best = counts.where(F.col("n_within") >= n).orderBy("_h", "anchor_id").limit(1)
+        if best.count():
+            break
+        tried, batch = (last["_h"], last[id_col]), batch * 2
+    chosen = anchors.join(F.broadcast(best.select(F.col("anchor_id").alias(id_col))), id_col, "left_semi")
+    near = within_radius(points, chosen, radius, metric, vec, id_col).join(F.broadcast(best.select("anchor_id", "n_within")), "anchor_id")
     w = Window.partitionBy("anchor_id").orderBy(hash_order(seed, F.lit("pick"), id_col), id_col)
-    return (chosen.withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") <= n))
+    return (near.withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") <= n))
             .select("anchor_id", id_col, "dist", "n_within"))

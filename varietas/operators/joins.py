@@ -44,15 +44,13 @@ def whole_vs_subset(whole: DataFrame, subset: DataFrame, key: str, value: str =
     return a.join(b, key, "left").fillna({value + suffixes[1]: 0})
 
 
-def keep_originally_correct(variants: DataFrame, originals_pred: DataFrame,
-                            key: str = "text_orig") -> DataFrame:
+def keep_originally_correct(variants: DataFrame, correct: DataFrame, keys: Sequence[str] = ("text_orig",)) -> DataFrame:
     """Keep the variants whose original was predicted right.
 
-    ``originals_pred`` holds one prediction per distinct original (score the
-    distinct originals once, W2), with columns (key, label, pred).
+    ``correct`` lists the ``keys`` (the original's text or its digest, and the model) of
+    originals predicted right, each distinct original scored once (W2).
     """
-    ok = originals_pred.where(F.col("pred") == F.col("label")).select(key).distinct()
-    return variants.join(ok, key, "left_semi")
+    return variants.join(correct.select(*keys).distinct(), list(keys), "left_semi")
 
 
 def expand_templates(template: DataFrame, example: DataFrame) -> DataFrame:
@@ -68,8 +66,13 @@ def expand_templates(template: DataFrame, example: DataFrame) -> DataFrame:
 
 
 def pick_test_set(df: DataFrame, mapping: DataFrame, key: str = "dataset") -> DataFrame:
-    """Dataset -> test set name (small corpora share one held-out set)."""
-    return df.join(F.broadcast(mapping), key, "left")
+    """Dataset name -> test set name (small corpora share one held-out set).
+
+    A name that ``mapping`` does not list is an error.
+    """
+    found = df.join(mapping, key, "left")
+    missing = F.raise_error(F.concat(F.lit("no test set for "), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
+    return found.withColumn("test_set", F.coalesce("test_set", missing.cast("string")))
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def wide_to_long(df: DataFrame, id_col: str, text_cols: Sequence[str], score_cols: Sequence[str] | None = None,
-                 title_col: str | None = None) -> DataFrame:
+                 title_col: str | None = None, title_score_col: str | None = None) -> DataFrame:
     """One row per non-empty cell of ``text_cols`` (with its score), plus an
-    optional title row (idx = -1).  Output (id, idx, text[, score])."""
+    optional title row (idx = -1) with the score of ``title_score_col``.  Output (id, idx, text[, score])."""
     parts = [F.struct(F.lit(i).alias("idx"), F.col(c).cast("string").alias("text"),
                       *([F.col(score_cols[i]).cast("double").alias("score")] if score_cols else []))
              for i, c in enumerate(text_cols)]
@@ -20,7 +20,8 @@ def wide_to_long(df: DataFrame, id_col: str, text_cols: Sequence[str], score_col
     if title_col:
         title = df.select(id_col, F.lit(-1).alias("idx"), F.col(title_col).alias("text"))
         if score_cols:
-            title = title.withColumn("score", F.lit(None).cast("double"))
+            title = df.select(id_col, F.lit(-1).alias("idx"), F.col(title_col).alias("text"),
+                              (F.col(title_score_col) if title_score_col else F.lit(None)).cast("double").alias("score"))
         long = long.unionByName(title)
     return long
 

@@ -238,7 +238,8 @@ def stratified_split(df: DataFrame, label: str = "label", test_fraction: float |
     whole = Window.partitionBy(*k) if k else Window.partitionBy(F.lit(1))
     h = df.withColumn("_h", hash_order(seed, id_col)) \
           .withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
-    counts = h.groupBy(*k, label, "_b").agg(F.count("*").alias("_cnt"))
+    # a row without a label belongs to no quota and stays a training row
+    counts = h.where(F.col(label).isNotNull()).groupBy(*k, label, "_b").agg(F.count("*").alias("_cnt"))
     per_label = counts.groupBy(*k, label).agg(F.sum("_cnt").alias("_nc"))
     per_label = per_label.withColumn("_n", F.sum("_nc").over(whole))
     if test_size is not None:

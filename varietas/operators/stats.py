@@ -12,11 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from varietas.functions.pvalues import f_pvalue, t_pvalue
 from varietas.functions.text import stars as stars_expr
@@ -58,7 +55,7 @@ def histogram(df: DataFrame, col: str, bins: int = 30, keys: Sequence[str] = ())
     keys = list(keys)
     src = df.where(F.col(col).isNotNull())
     rng = src.groupBy(*keys).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
-    j = src.join(F.broadcast(rng), keys) if keys else src.crossJoin(F.broadcast(rng))
+    j = src.join(rng, keys) if keys else src.crossJoin(F.broadcast(rng))
     width = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(F.lit(1.0))
     b = F.least(F.floor((F.col(col) - F.col("_lo")) / width * bins), F.lit(bins - 1)).cast("int")
     return j.withColumn("bin", b).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
@@ -75,13 +72,13 @@ def min_max_scale(c: str, keys: Sequence[str] = ()) -> Column:
 def with_min_max(df: DataFrame, c: str, keys: Sequence[str] = (), out: str | None = None) -> DataFrame:
     """(x - min) / (max - min) per key, 0 when max = min (as sklearn).
 
-    min / max per key are an aggregate (partial before the shuffle) joined back;
-    the key table is one row per group, so it is broadcast.
+    min / max per key are an aggregate (partial before the shuffle) joined back
+    (one row per group: the planner's size check decides how; without keys it is one row).
     """
     keys = list(keys)
     out = out or f"{c}_scaled"
     rng = df.groupBy(*keys).agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"))
-    j = df.join(F.broadcast(rng), keys) if keys else df.crossJoin(F.broadcast(rng))
+    j = df.join(rng, keys) if keys else df.crossJoin(F.broadcast(rng))
     scaled = F.when(F.col("_hi") > F.col("_lo"), (F.col(c) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))) \
         .otherwise(F.lit(0.0))
     return j.withColumn(out, scaled).drop("_lo", "_hi")
@@ -140,56 +137,55 @@ def group_metrics(pred: DataFrame, per_minority_tests: Sequence[str] = ("Prejudi
 
 
 # --------------------------------------------------------------------------- ranks and quantiles
+def _sliced_values(df: DataFrame, value: str, keys: list[str], n_parts: int | None) -> tuple[DataFrame, DataFrame]:
+    """(values, slices): distinct (keys, value) with their count ``cnt``, slice ``_pid`` and count before
+    them in the slice ``_local``; and per (keys, _pid) the counts before (``_off``) and in it (``_tot``) and
+    the group's size ``n``.
+
+    The slices come from one range partitioning.  Its borders are sampled, so they
+    differ between two evaluations: the table is written once and everything else reads that copy.
+    """
+    d = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("cnt"))
+    if n_parts is None:
+        n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    cut = cut_lineage(d.repartitionByRange(n_parts, *keys, value).withColumn("_pid", F.spark_partition_id()))
+    inside = Window.partitionBy(*keys, "_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    values = cut.withColumn("_local", F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
+    slices = cut.groupBy(*keys, "_pid").agg(F.sum("cnt").alias("_tot"))
+    kw = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))   # slices x groups rows
+    slices = slices.withColumn("_off", F.coalesce(F.sum("_tot").over(
+        kw.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return values, slices.withColumn("n", F.sum("_tot").over(kw))
+
+
 def distinct_value_positions(df: DataFrame, value: str, keys: Sequence[str] = (),
                              n_parts: int | None = None) -> DataFrame:
     """(keys..., value, cnt, lo, n): the distinct values of each group with their
     0-based first position ``lo`` in ascending order and the group size ``n``.
 
-    Distinct (group, value) counts are range-partitioned over tasks and sorted
-    inside each task; a task emits the cumulative count before each value and
-    its per-group totals; per-task offsets (tasks x groups rows) are summed with
-    a small window.  No task ever holds a whole group.
+    Distinct (group, value) counts are range-partitioned over tasks; a window
+    inside each slice gives the count before each value, and per-slice offsets
+    (slices x groups rows) are added.  No task ever holds a whole group.
     """
     keys = list(keys)
-    d = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("cnt"))
-    if n_parts is None:
-        n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    ordered = d.repartitionByRange(n_parts, *keys, value).sortWithinPartitions(*keys, value)
-    ordered = ordered.withColumn("_pid", F.spark_partition_id())
-    key_fields = [f for f in ordered.schema.fields if f.name in keys or f.name == value]
-    schema = StructType(key_fields + [StructField("cnt", LongType()), StructField("_pid", LongType()),
-                                      StructField("_local", LongType())])
-    cols = [*keys, value]
-
-    def local(batches):
-        # rows arrive sorted by (keys, value); per group: count of rows before
-        carry: dict = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            cnt = pdf["cnt"].astype(np.int64)
-            gid = pd.Series(list(zip(*[pdf[k] for k in keys])), index=pdf.index) if keys \
-                else pd.Series([()] * len(pdf), index=pdf.index)
-            within = cnt.groupby(gid, sort=False).cumsum() - cnt
-            start = gid.map(lambda g: carry.get(g, 0)).astype(np.int64)
-            for g, tot in cnt.groupby(gid, sort=False).sum().items():
-                carry[g] = carry.get(g, 0) + int(tot)
-            res = pdf[cols].copy()
-            res["cnt"] = cnt
-            res["_pid"] = pdf["_pid"].astype(np.int64)
-            res["_local"] = (start + within).astype(np.int64)
-            yield res
-
-    loc = ordered.select(*cols, "cnt", "_pid").mapInPandas(local, schema)
-    totals = loc.groupBy(*keys, "_pid").agg(F.sum("cnt").alias("_tot"))
-    kw = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    totals = totals.withColumn("_off", F.coalesce(F.sum("_tot").over(
-        kw.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    totals = totals.withColumn("n", F.sum("_tot").over(kw))
-    out = loc.join(F.broadcast(totals.select(*keys, "_pid", "_off", "n")), [*keys, "_pid"])
+    values, slices = _sliced_values(df, value, keys, n_parts)
+    out = values.join(slices.select(*keys, "_pid", "_off", "n"), [*keys, "_pid"])
     return out.select(*keys, value, "cnt", (F.col("_off") + F.col("_local")).alias("lo"), "n")
 
 
+def value_at(df: DataFrame, value: str, wanted: DataFrame, place: str) -> DataFrame:
+    """``wanted`` with the ``value`` at 0-based position ``place`` of the sorted column (repeats counted).
+
+    A position meets the slices' offsets first, then only its own slice's values.
+    """
+    values, slices = _sliced_values(df, value, [], None)
+    offs = slices.select("_pid", "_off", "_tot")
+    at = wanted.join(F.broadcast(offs), (F.col(place) >= F.col("_off")) & (F.col(place) < F.col("_off") + F.col("_tot")))
+    hit = at.join(values, "_pid").where(
+        (F.col(place) - F.col("_off") >= F.col("_local")) & (F.col(place) - F.col("_off") < F.col("_local") + F.col("cnt")))
+    return hit.drop("_pid", "_off", "_tot", "_local", "cnt")
+
+
 def average_rank(df: DataFrame, value: str, keys: Sequence[str] = (), out: str | None = None) -> DataFrame:
     """1-based average rank of ``value`` within keys (ties share the mean rank)."""
     out = out or f"{value}_rank"
@@ -202,19 +198,22 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[
     """Exact quantiles with linear interpolation (NumPy default).
 
     Position h = q (n - 1); result = v[floor h] + (h - floor h)(v[ceil h] - v[floor h]).
+    A position is first located in a slice by the slices' offsets; only that
+    slice's values meet it, so a large group is never joined on its key alone.
     """
     keys = list(keys)
-    pos = cut_lineage(distinct_value_positions(df, value, keys))  # read three times below
-    sizes = pos.select(*keys, "n").distinct()
+    values, slices = _sliced_values(df, value, keys, None)
+    sizes = slices.select(*keys, "n").distinct()
     qs = sizes.withColumn("q", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-    qs = qs.withColumn("_h", F.col("q") * (F.col("n") - 1))
-    qs = qs.withColumn("_f", F.floor("_h")).withColumn("_c", F.ceil("_h"))
-    lo_v = pos.select(*keys, F.col(value).alias("_vf"), F.col("lo").alias("_lof"), F.col("cnt").alias("_cf"))
-    hi_v = pos.select(*keys, F.col(value).alias("_vc"), F.col("lo").alias("_loc"), F.col("cnt").alias("_cc"))
-    j = qs.join(lo_v, [*keys]).where((F.col("_f") >= F.col("_lof")) & (F.col("_f") < F.col("_lof") + F.col("_cf")))
-    j = j.join(hi_v, [*keys]).where((F.col("_c") >= F.col("_loc")) & (F.col("_c") < F.col("_loc") + F.col("_cc")))
-    val = F.col("_vf") + (F.col("_h") - F.col("_f")) * (F.col("_vc") - F.col("_vf"))
-    return j.select(*keys, "q", val.alias("value"))
+    qs = qs.withColumn("_h", F.col("q") * (F.col("n") - 1)).drop("n")
+    want = qs.withColumn("_k", F.explode(F.array(F.floor("_h"), F.ceil("_h"))))
+    at = want.join(slices.drop("n"), keys) if keys else want.crossJoin(slices.drop("n"))
+    at = at.where((F.col("_k") >= F.col("_off")) & (F.col("_k") < F.col("_off") + F.col("_tot")))
+    at = at.withColumn("_in", F.col("_k") - F.col("_off")).drop("_off", "_tot")
+    hit = values.join(at, [*keys, "_pid"]).where((F.col("_in") >= F.col("_local")) & (F.col("_in") < F.col("_local") + F.col("cnt")))
+    lo_hi = hit.groupBy(*keys, "q", "_h").agg(F.min(value).alias("_vf"), F.max(value).alias("_vc"))
+    val = F.col("_vf") + (F.col("_h") - F.floor("_h")) * (F.col("_vc") - F.col("_vf"))
+    return lo_hi.select(*keys, "q", val.alias("value"))
 
 
 # --------------------------------------------------------------------------- A12 / A13 / A14 / A15

@@ -3,11 +3,10 @@ set operators (P*, F*, J*, R*, W*, O*) and the page extraction (S9)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from varietas.functions import text as T
-from varietas.operators import joins, reshape
+from varietas.operators import joins, reshape, stats
 from varietas.plans.sampling_plans import _SQL_UNIFORM_MEMBERS_CTE, uniform_members_df
 from varietas.sources import fixtures as fx
 from varietas.sources import pages as pg
@@ -25,12 +24,11 @@ def q_text_projection(spark, sf_dir):
         T.remap("lang", {"en": "english", "de": "german"}).alias("lang_name"),
         T.map_label("lang", {"en": 1, "fr": 0}).alias("lang_flag"),
         F.md5(fl).alias("first_line_md5"),
-        T.strip_marker(F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("]: "),
-                                F.substring(fl, 1, 40))).alias("marker_free"),
+        F.md5(T.strip_marker(F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("]: "), "text"))).alias("marker_free_md5"),
         T.outlet_from_event_id(F.concat(F.lit("ev_"), "source", F.lit(" "), "lang", F.lit("_"),
                                         F.col("doc_id").cast("string"))).alias("outlet"),
-        T.strip_article(F.lower(F.substring(fl, 1, 30))).alias("article_default"),
-        T.strip_article(F.lower(F.substring(fl, 1, 30)), legacy=True).alias("article_legacy"))
+        F.md5(T.strip_article(F.lower("text"))).alias("article_default_md5"),
+        F.md5(T.strip_article(F.lower("text"), legacy=True)).alias("article_legacy_md5"))
 
 
 SQL_TEXT_PROJECTION = r"""
@@ -39,12 +37,11 @@ SELECT doc_id,
   CASE lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' ELSE lang END AS lang_name,
   CASE WHEN lang = 'en' THEN 1 WHEN lang = 'fr' THEN 0 END AS lang_flag,
   md5(split_part(text, chr(10), 1)) AS first_line_md5,
-  regexp_replace('[' || CAST(doc_id AS VARCHAR) || ']: ' || substr(split_part(text, chr(10), 1), 1, 40),
-                 '(\[[0-9]*\]: )', '', 'g') AS marker_free,
+  md5(regexp_replace('[' || CAST(doc_id AS VARCHAR) || ']: ' || text, '(\[[0-9]*\]: )', '', 'g')) AS marker_free_md5,
   regexp_replace(lower(regexp_replace(regexp_replace('ev_' || source || ' ' || lang || '_' || CAST(doc_id AS VARCHAR),
                  '^[^_]*_', ''), '_[0-9]+', '', 'g')), '\s+', '-', 'g') AS outlet,
-  regexp_replace(lower(substr(split_part(text, chr(10), 1), 1, 30)), '^the ', '') AS article_default,
-  ltrim(lower(substr(split_part(text, chr(10), 1), 1, 30)), 'the ') AS article_legacy
+  md5(regexp_replace(lower(text), '^the ', '')) AS article_default_md5,
+  md5(ltrim(lower(text), 'the ')) AS article_legacy_md5
 FROM documents
 """
 
@@ -103,18 +100,22 @@ def q_topic_vector_join(spark, sf_dir):
     cent = cent.groupBy("topic_nr").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("_c"))
     cent = cent.select("topic_nr", F.transform("_c", lambda s: s["x"]).alias("topic_vec"))
     j = joins.enrich_left(fx.doc_topic(spark, sf_dir), cent, on="topic_nr")
-    vec = F.coalesce(F.col("topic_vec"), F.array_repeat(F.lit(0.0), 64))
+    dim = emb.agg(F.max(F.size("embedding"))).first()[0]
+    vec = F.coalesce(F.col("topic_vec"), F.array_repeat(F.lit(0.0), dim))
+    at = F.transform(vec, lambda x, i: x * (i + 1))
     return j.select("doc_id", "topic_nr", R6(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x)).alias("vec_sum"),
-                    F.size(vec).alias("dim"))
+                    F.round(F.aggregate(at, F.lit(0.0), lambda a, x: a + x), 5).alias("vec_moment"), F.size(vec).alias("dim"))
 
 
 SQL_TOPIC_VECTOR_JOIN = """
 WITH x AS (SELECT label AS topic_nr, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embeddings),
 c AS (SELECT topic_nr, i, avg(CAST(x AS DOUBLE)) AS x FROM x GROUP BY ALL),
-cs AS (SELECT topic_nr, sum(x) AS s FROM c GROUP BY ALL),
+cs AS (SELECT topic_nr, sum(x) AS s, sum(x * i) AS m FROM c GROUP BY ALL),
+dim AS (SELECT max(len(embedding)) AS dim FROM embeddings),
 dt AS (SELECT d.doc_id, e.label AS topic_nr FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)
-SELECT dt.doc_id, dt.topic_nr, round(coalesce(cs.s, 0.0), 6) AS vec_sum, 64 AS dim
-FROM dt LEFT JOIN cs ON dt.topic_nr = cs.topic_nr
+SELECT dt.doc_id, dt.topic_nr, round(coalesce(cs.s, 0.0), 6) AS vec_sum, round(coalesce(cs.m, 0.0), 5) AS vec_moment,
+  CAST(dim AS INTEGER) AS dim
+FROM dt LEFT JOIN cs ON dt.topic_nr = cs.topic_nr CROSS JOIN dim
 """
 
 
@@ -148,32 +149,60 @@ FROM members m LEFT JOIN documents d ON m.doc_id = d.doc_id GROUP BY ALL
 
 
 def q_pick_test_set(spark, sf_dir):
-    """Every source maps to a held-out set; small sources share one."""
+    """Every source's name maps to a held-out set; an unknown name is an error."""
     sizes = fx.corpus(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
-    mapping = spark.createDataFrame([("large", "own"), ("small", "shared")], "size_class string, test_set string")
-    s = sizes.withColumn("size_class", F.when(F.col("n") >= 50, "large").otherwise("small"))
-    return joins.pick_test_set(s, mapping, "size_class").select("source", "n", "test_set")
+    return joins.pick_test_set(sizes, fx.test_sets(spark, sf_dir), "source").select("source", "n", "test_set")
 
 
 SQL_PICK_TEST_SET = """
-SELECT source, count(*) AS n, CASE WHEN count(*) >= 50 THEN 'own' ELSE 'shared' END AS test_set
+SELECT source, count(*) AS n, CASE WHEN substr(md5(source), 1, 1) < '8' THEN 'own' ELSE 'shared' END AS test_set
 FROM documents GROUP BY source
 """
 
 
 # --------------------------------------------------------------------------- R1, R3
+def _turns(spark, sf_dir) -> tuple:
+    """Conversations and their turn numbers (the columns of the wide table)."""
+    c = fx.table(spark, sf_dir, "conversations")
+    return c, sorted(r["turn"] for r in c.select("turn").where("turn IS NOT NULL").distinct().collect())
+
+
 def q_wide_to_long(spark, sf_dir):
-    """Conversations pivoted wide (turns 0..5) and melted back, empty cells dropped."""
-    c = fx.table(spark, sf_dir, "conversations").where(F.col("turn") < 6)
-    wide = c.groupBy("conv_id").pivot("turn", list(range(6))).agg(F.first("text"))
-    wide = wide.select("conv_id", *[F.col(str(i)).alias(f"s{i}") for i in range(6)])
-    long = reshape.wide_to_long(wide, "conv_id", [f"s{i}" for i in range(6)])
-    return long.select("conv_id", "idx", F.md5("text").alias("text_md5"))
+    """Conversations pivoted wide (a column per turn) and melted back, empty cells dropped."""
+    c, turns = _turns(spark, sf_dir)
+    wide = c.groupBy("conv_id").pivot("turn", turns).agg(F.first("text"))
+    wide = wide.select("conv_id", *[F.col(str(i)).alias(f"s{i}") for i in turns])
+    long = reshape.wide_to_long(wide, "conv_id", [f"s{i}" for i in turns])
+    at = F.element_at(F.array(*[F.lit(i) for i in turns]), F.col("idx") + 1).cast("int")
+    return long.select("conv_id", at.alias("idx"), F.md5("text").alias("text_md5"))
 
 
 SQL_WIDE_TO_LONG = """
 SELECT conv_id, CAST(turn AS INTEGER) AS idx, md5(text) AS text_md5 FROM conversations
-WHERE turn < 6 AND text IS NOT NULL
+WHERE text IS NOT NULL AND length(text) > 0
+"""
+
+
+def q_title_scores(spark, sf_dir):
+    """R1 -> A19 with the title's own score: wide annotation tables (score columns 0.., title score t)
+    melted and averaged per (conversation, sentence); the title is sentence -1."""
+    c, turns = _turns(spark, sf_dir)
+    c = c.withColumn("score", F.length("text").cast("double"))
+    wide = c.groupBy("conv_id").pivot("turn", turns).agg(F.first("text").alias("s"), F.first("score").alias("v"))
+    titles = c.groupBy("conv_id").agg(F.min_by("role", "turn").alias("doctitle"), F.max("score").alias("t"))
+    wide = wide.join(titles, "conv_id")
+    long = reshape.wide_to_long(wide, "conv_id", [f"{i}_s" for i in turns], [f"{i}_v" for i in turns],
+                                title_col="doctitle", title_score_col="t")
+    both = long.unionByName(long.withColumn("score", F.col("score") + 1))      # two annotators
+    return both.groupBy("conv_id", "idx").agg(R6(F.avg("score")).alias("mean_score"))
+
+
+SQL_TITLE_SCORES = """
+WITH s AS (SELECT conv_id, dense_rank() OVER (ORDER BY turn) - 1 AS idx, CAST(length(text) AS DOUBLE) AS v FROM conversations
+           WHERE turn IS NOT NULL AND text IS NOT NULL AND length(text) > 0)
+SELECT conv_id, CAST(idx AS INTEGER) AS idx, round(v + 0.5, 6) AS mean_score FROM s
+UNION ALL
+SELECT conv_id, -1 AS idx, round(max(CAST(length(text) AS DOUBLE)) + 0.5, 6) AS mean_score FROM conversations GROUP BY conv_id
 """
 
 
@@ -252,9 +281,8 @@ SELECT o_orderkey, round(o_totalprice, 6) AS o_totalprice FROM orders ORDER BY o
 def q_share_of_total(spark, sf_dir):
     """W3 + P19: share of events per type and scaled size."""
     e = fx.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    allw = Window.partitionBy(F.lit(1))
-    return e.select("event_type", "n", R6(F.col("n") / F.sum("n").over(allw)).alias("share"),
-                    R6(F.col("n") / F.max("n").over(allw) * 50).alias("scaled"))
+    e = stats.share_of_total(e, "n")
+    return e.select("event_type", "n", R6("share").alias("share"), R6(stats.scale_by_max("n", 50)).alias("scaled"))
 
 
 SQL_SHARE_OF_TOTAL = """
@@ -368,15 +396,19 @@ FROM pages
 
 
 def q_page_ratings(spark, sf_dir):
-    return pg.page_ratings(fx.table(spark, sf_dir, "pages"))
+    """S9 b: every page with a labelled document of its id gets that document's ratings as bold pairs
+    (one of them twice: the later pair counts), and they are read back."""
+    lab = fx.table(spark, sf_dir, "labels")
+    pair = lambda n, v: F.concat(F.lit(f"<p><strong>{n}: "), v.cast("string"), F.lit("</strong></p>"))
+    rated = fx.table(spark, sf_dir, "pages").join(lab, F.col("page_id") == F.col("doc_id")).select(
+        "page_id", F.concat("html", pair("Reliability", F.lit(-1)), pair("Reliability", F.col("quality") * 64),
+                            pair(" Bias", F.col("toxic") * 84 - 42)).alias("html"))
+    return pg.page_ratings(rated)
 
 
 SQL_PAGE_RATINGS = """
-WITH p AS (SELECT page_id, regexp_extract_all(html, '<b>([^<:]+): ([-+0-9.]+)</b>', 1) AS n,
-                  regexp_extract_all(html, '<b>([^<:]+): ([-+0-9.]+)</b>', 2) AS v FROM pages),
-x AS (SELECT page_id, lower(trim(unnest(n))) AS metric, CAST(unnest(v) AS DOUBLE) AS value FROM p)
-SELECT page_id, last(CASE WHEN metric = 'reliability' THEN value END) AS reliability,
-       last(CASE WHEN metric = 'bias' THEN value END) AS bias FROM x GROUP BY page_id
+SELECT page_id, CAST(quality * 64 AS DOUBLE) AS reliability, CAST(toxic * 84 - 42 AS DOUBLE) AS bias
+FROM pages JOIN labels ON page_id = doc_id
 """
 
 
@@ -389,6 +421,7 @@ QUERIES = {
     "join_back": q_join_back,
     "pick_test_set": q_pick_test_set,
     "wide_to_long": q_wide_to_long,
+    "title_scores": q_title_scores,
     "repeat_k": q_repeat_k,
     "first_turn": q_first_turn,
     "unique_texts": q_unique_texts,
@@ -413,6 +446,7 @@ ORACLE = {
     "join_back": SQL_JOIN_BACK,
     "pick_test_set": SQL_PICK_TEST_SET,
     "wide_to_long": SQL_WIDE_TO_LONG,
+    "title_scores": SQL_TITLE_SCORES,
     "repeat_k": SQL_REPEAT_K,
     "first_turn": SQL_FIRST_TURN,
     "unique_texts": SQL_UNIQUE_TEXTS,

@@ -46,12 +46,11 @@ def q_vector_vendi_curve(spark, sf_dir):
 # --------------------------------------------------------------------------- radius_sample
 RADIUS = 0.85
 RADIUS_N = 20
-N_ANCHORS = 20
 
 
 def q_radius_sample(spark, sf_dir):
     pts = fx.embedding(spark, sf_dir)
-    s = diversity.radius_sample(pts, n=RADIUS_N, radius=RADIUS, seed=SEED, n_anchors=N_ANCHORS)
+    s = diversity.radius_sample(pts, n=RADIUS_N, radius=RADIUS, seed=SEED)
     return s.select("anchor_id", "doc_id", F.round("dist", 6).alias("dist"), "n_within")
 
 
@@ -59,7 +58,7 @@ SQL_RADIUS_SAMPLE = """
 WITH p AS (SELECT vec_id AS doc_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 a AS (SELECT doc_id AS anchor_id, v AS av,
              row_number() OVER (ORDER BY md5(concat_ws('|', '42', 'anchor', doc_id)), doc_id) AS anchor_rank
-      FROM p ORDER BY md5(concat_ws('|', '42', 'anchor', doc_id)), doc_id LIMIT 20),
+      FROM p),
 d AS (SELECT a.anchor_id, a.anchor_rank, p.doc_id,
         1.0 - CASE WHEN sqrt(list_sum(list_transform(p.v, lambda x: x * x))) > 0
                         AND sqrt(list_sum(list_transform(a.av, lambda x: x * x))) > 0
@@ -129,7 +128,47 @@ FROM pairs
 """
 
 
+def q_topic_vendi2(spark, sf_dir):
+    """V2 / V3 at order 2: 1 / sum (g / n)^2 over the Gram table of each topic."""
+    g = diversity.gram_table(fx.embedding(spark, sf_dir), keys=["topic_nr"])
+    return diversity.vendi2_from_gram(g, ["topic_nr"]).select("topic_nr", F.round("vs2", 6).alias("vs2"), "n")
+
+
+SQL_TOPIC_VENDI2 = """
+WITH e AS (SELECT vec_id, label AS topic_nr, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nrm FROM e),
+x AS (SELECT vec_id, topic_nr, generate_subscripts(v, 1) AS i,
+             unnest(list_transform(v, lambda y: CASE WHEN nrm > 0 THEN y / nrm ELSE 0.0 END)) AS x FROM n),
+g AS (SELECT a.topic_nr, a.i, b.i AS j, sum(a.x * b.x) AS g FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY ALL),
+c AS (SELECT label AS topic_nr, count(*) AS n FROM embeddings GROUP BY 1)
+SELECT g.topic_nr, round(1.0 / sum(power(g / n, 2)), 6) AS vs2, n FROM g JOIN c ON g.topic_nr = c.topic_nr GROUP BY g.topic_nr, n
+"""
+
+
+def q_vector_vendi2_curve(spark, sf_dir):
+    """V4 at order 2: the score of growing md5-ordered samples."""
+    v = distances.vendi_curve(fx.embedding(spark, sf_dir), sizes=(100, 200, 500, 1000, 2000, 5000, 10000), q=2.0)
+    return v.select(F.col("size").cast("int").alias("size"), F.round("vs", 6).alias("vs2"), "n")
+
+
+SQL_VECTOR_VENDI2_CURVE = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v,
+             row_number() OVER (ORDER BY md5(concat_ws('|', '42', vec_id)), vec_id) AS rk, count(*) OVER () AS total FROM embeddings),
+n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nrm FROM e),
+x AS (SELECT vec_id, rk, generate_subscripts(v, 1) AS i,
+             unnest(list_transform(v, lambda y: CASE WHEN nrm > 0 THEN y / nrm ELSE 0.0 END)) AS x FROM n),
+s0 AS (SELECT unnest([100, 200, 500, 1000, 2000, 5000, 10000]) AS size),
+s AS (SELECT size, least(size, total) AS n FROM s0 CROSS JOIN (SELECT count(*) AS total FROM embeddings)
+      QUALIFY size <= total OR size = min(size) FILTER (WHERE size >= total) OVER ()),
+g AS (SELECT s.size, s.n, a.i, b.i AS j, sum(a.x * b.x) AS g FROM x a JOIN x b ON a.vec_id = b.vec_id
+      JOIN s ON a.rk <= s.size GROUP BY ALL)
+SELECT size, round(1.0 / sum(power(g / n, 2)), 6) AS vs2, n FROM g GROUP BY size, n
+"""
+
+
 QUERIES = {
+    "topic_vendi2": q_topic_vendi2,
+    "vector_vendi2_curve": q_vector_vendi2_curve,
     "distance_deciles": q_distance_deciles,
     "topic_gram": q_topic_gram,
     "topic_vendi": q_topic_vendi,
@@ -140,6 +179,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "topic_vendi2": SQL_TOPIC_VENDI2,
+    "vector_vendi2_curve": SQL_VECTOR_VENDI2_CURVE,
     "distance_deciles": SQL_DISTANCE_DECILES,
     "topic_gram": SQL_TOPIC_GRAM,
     "radius_sample": SQL_RADIUS_SAMPLE,

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from varietas.plans import (clean_plans, embedding_plans, sampling_plans, stats_plans, suite_plans,
-                            sweep_plans, topic_plans)
+from varietas.plans import (clean_plans, embedding_plans, sampling_plans, source_plans, stats_plans,
+                            suite_plans, sweep_plans, topic_plans)
 
-_MODULES = [sampling_plans, embedding_plans, stats_plans, topic_plans, sweep_plans, suite_plans, clean_plans]
+_MODULES = [sampling_plans, embedding_plans, stats_plans, topic_plans, sweep_plans, suite_plans, clean_plans, source_plans]
 
 
 def queries():

@@ -226,6 +226,62 @@ def q_subsample_scores(spark, sf_dir):
     return subsample_scores(spark, sf_dir)
 
 
+def flat_sweep_members(spark, sf_dir) -> DataFrame:
+    """D6 in a form that SQL can follow: Dirichlet(1) subsamples from md5 spacings plus uniform ones."""
+    pool = rated_pool(spark, sf_dir)
+    caps = sampling.category_caps(pool)
+    flat = sampling.allocate_dirichlet(sampling.flat_dirichlet_weights(caps, _FLAT_SUBSAMPLES, SEED), caps, N, SEED)
+    uniform = sampling.allocate_uniform(caps, N).withColumn(
+        "subsample", F.explode(F.array(*[F.lit(f"alpha_inf_idx_{r}") for r in range(1, 4)])))
+    alloc = flat.select("subsample", "category", "n").unionByName(uniform.select("subsample", "category", "n"))
+    return sampling.draw(pool, alloc, N, SEED)
+
+
+def q_flat_sweep_scores(spark, sf_dir):
+    """D6 + V1 at order 2 + V5: score table of three Dirichlet(1) and three uniform subsamples."""
+    k = diversity.feature_kernel_table(flat_sweep_members(spark, sf_dir), keys=["subsample"])
+    s = diversity.vendi2_from_kernel(k, ["subsample"]).withColumnRenamed("vs2", "vs")
+    return diversity.score_table(s).select("subsample", "alpha", "vs", "normalized_vs")
+
+
+_SQL_FLAT_CTE = SQL_DIRICHLET_ALLOCATION.strip().replace("WITH caps AS", "fcaps AS").replace("FROM caps c", "FROM fcaps c")
+_SQL_FLAT_CTE = _SQL_FLAT_CTE.replace("w AS (SELECT subsample", "fw AS (SELECT subsample").replace("least(floor(500 * w), cap) END AS n0 FROM w)", "least(floor(500 * w), cap) END AS n0 FROM fw)")
+_SQL_FLAT_CTE = _SQL_FLAT_CTE.replace("b AS (SELECT *, 500 - sum(n0)", "fb AS (SELECT *, 500 - sum(n0)").replace("AS ok FROM b)", "AS ok FROM fb)")
+
+SQL_FLAT_SWEEP_SCORES = "WITH " + _SQL_UNIFORM_MEMBERS_CTE + "," + _SQL_RATING_CTE + "," + _SQL_FLAT_CTE.split("SELECT subsample, category, cap, round(w, 6)")[0].rstrip() + """,
+flat AS (SELECT subsample, category,
+           CAST(n0 + CASE WHEN ok AND pick = 1 AND rem > 0 THEN rem ELSE 0 END AS BIGINT) AS n FROM d),
+franked AS (SELECT f.subsample, docs.category, docs.doc_id, docs.source, f.n,
+              row_number() OVER (PARTITION BY f.subsample, docs.category
+                                 ORDER BY md5(concat_ws('|', '42', f.subsample, docs.doc_id)), docs.doc_id) AS rn
+            FROM docs JOIN flat f ON docs.category = f.category WHERE f.n > 0),
+every AS (SELECT subsample, source FROM members UNION ALL SELECT subsample, source FROM franked WHERE rn <= n),
+rm AS (SELECT m.subsample, r.reliability, r.bias FROM every m JOIN rating r ON m.source = r.source),
+g AS (SELECT subsample, reliability, bias, count(*) AS c FROM rm GROUP BY ALL),
+p AS (SELECT *, c / sum(c) OVER (PARTITION BY subsample) AS p FROM g),
+v AS (SELECT a.subsample,
+       round(1.0 / sum(a.p * b.p * power(1.0 / (1.0 + abs(a.reliability - b.reliability) + abs(a.bias - b.bias)), 2)), 3) AS vs
+FROM p a JOIN p b ON a.subsample = b.subsample GROUP BY a.subsample)
+SELECT subsample, CASE WHEN subsample LIKE '%inf%' THEN CAST('inf' AS DOUBLE) ELSE 1.0::DOUBLE END AS alpha, vs,
+       round(vs / max(vs) OVER (), 5) AS normalized_vs FROM v
+"""
+
+
+def q_source_vendi2_whole(spark, sf_dir):
+    """V8 at order 2: the unsampled corpus, rows without a rating left out."""
+    k = diversity.feature_kernel_table(rated_pool(spark, sf_dir, drop_sources=("src0",)))
+    return diversity.vendi2_from_kernel(k).select(F.round("vs2", 6).alias("vs2"))
+
+
+SQL_SOURCE_VENDI2_WHOLE = "WITH " + _SQL_RATING_CTE + """,
+pool AS (SELECT r.reliability, r.bias FROM documents d JOIN rating r ON d.source = r.source WHERE d.source <> 'src0'),
+g AS (SELECT reliability, bias, count(*) AS c FROM pool GROUP BY ALL),
+p AS (SELECT *, c / sum(c) OVER () AS p FROM g)
+SELECT round(1.0 / sum(a.p * b.p * power(1.0 / (1.0 + abs(a.reliability - b.reliability) + abs(a.bias - b.bias)), 2)), 6) AS vs2
+FROM p a CROSS JOIN p b
+"""
+
+
 def q_random_docs(spark, sf_dir):
     """50 documents in md5 order (a top-k, not a full sort)."""
     d = fx.table(spark, sf_dir, "documents").select("doc_id", "source")
@@ -238,6 +294,8 @@ SELECT doc_id, source FROM documents ORDER BY md5(concat_ws('|', '42', doc_id)),
 
 
 QUERIES = {
+    "flat_sweep_scores": q_flat_sweep_scores,
+    "source_vendi2_whole": q_source_vendi2_whole,
     "random_docs": q_random_docs,
     "corpus_rated": q_corpus_rated,
     "unrated_sources": q_unrated_sources,
@@ -252,6 +310,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "flat_sweep_scores": SQL_FLAT_SWEEP_SCORES,
+    "source_vendi2_whole": SQL_SOURCE_VENDI2_WHOLE,
     "random_docs": SQL_RANDOM_DOCS,
     "corpus_rated": SQL_CORPUS_RATED,
     "unrated_sources": SQL_UNRATED_SOURCES,

@@ -44,16 +44,16 @@ SQL_STRATIFIED_SPLIT = "WITH " + _SQL_SPLIT_CTE + "SELECT doc_id, label, is_test
 
 
 def uniform_train(spark, sf_dir, reps: int = 3):
-    """Uniform subsamples drawn from the corpus minus the test set."""
+    """Uniform subsamples drawn from the labelled corpus minus the test set."""
     sp = split(spark, sf_dir)
     test = cut_lineage(sp.where("is_test").select("doc_id", "label"))
-    pool = fx.corpus(spark, sf_dir).select("doc_id", "category", "label").join(test.select("doc_id"), "doc_id",
-                                                                              "left_anti")
+    pool = (fx.corpus(spark, sf_dir).where(F.col("label").isNotNull()).select("doc_id", "category", "label")
+            .join(test.select("doc_id"), "doc_id", "left_anti"))
     caps = sampling.category_caps(pool)
     alloc = sampling.allocate_uniform(caps, N).withColumn(
         "subsample", F.explode(F.array(*[F.lit(f"alpha_inf_idx_{r}") for r in range(1, reps + 1)])))
     members = sampling.draw(pool, alloc, N, SEED)
-    train = members.where(F.col("label").isNotNull()).select("subsample", "doc_id", "label")
+    train = members.select("subsample", "doc_id", "label")
     # both are id lists read by several later stages; cut their lineage once
     return cut_lineage(train), test
 
@@ -76,8 +76,8 @@ def q_nb_model(spark, sf_dir):
 
 _SQL_NB_CTE = _SQL_SPLIT_CTE + r""",
 pool AS (SELECT d.doc_id, concat_ws('_', d.source, d.lang) AS category, l.toxic AS label
-         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
-         WHERE d.doc_id NOT IN (SELECT doc_id FROM test)),
+         FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+         WHERE l.toxic IS NOT NULL AND d.doc_id NOT IN (SELECT doc_id FROM test)),
 caps AS (SELECT category, count(*) AS cap FROM pool WHERE category IS NOT NULL GROUP BY 1),
 s AS (SELECT category, cap,
         row_number() OVER (ORDER BY cap, category) - 1 AS i,
@@ -165,11 +165,12 @@ def sweep_results(spark, sf_dir) -> DataFrame:
     """T1 -> T2 -> A10 -> J4 over all 36 source subsamples (sweep result table)."""
     sp = split(spark, sf_dir)
     test = cut_lineage(sp.where("is_test").select("doc_id", "label"))
-    pool = rated_pool(spark, sf_dir).join(test.select("doc_id"), "doc_id", "left_anti")
+    # rows without a label are dropped before sampling, so every subsample trains and is scored on the same rows
+    pool = rated_pool(spark, sf_dir).where(F.col("label").isNotNull()).join(test.select("doc_id"), "doc_id", "left_anti")
     members, _ = sampling.create_subsets(pool, n_total=N, seed=SEED)
     members = cut_lineage(members.select("subsample", "alpha", "doc_id", "label", "reliability", "bias"))
     scores = diversity.score_table(diversity.vendi_features(members, ["subsample"]))
-    train = members.where(F.col("label").isNotNull()).select("subsample", "doc_id", "label")
+    train = members.select("subsample", "doc_id", "label")
     toks = fx.doc_texts(spark, sf_dir)
     model, _ = sweep.train_nb(train, toks)
     model = cut_lineage(model)

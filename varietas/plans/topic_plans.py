@@ -91,14 +91,29 @@ def q_topic_kernel_vendi(spark, sf_dir):
     return diversity.vendi_kernel_weights(w, k, ["subsample"]).select("subsample", R6("vs").alias("vs"), "n")
 
 
+def _with_outliers(spark, sf_dir):
+    """doc_topic with -1 for documents without a topic."""
+    return fx.doc_topic(spark, sf_dir).withColumn("topic_nr", F.coalesce("topic_nr", F.lit(-1)))
+
+
+def topic_members(spark, sf_dir):
+    """D6 on the topic dimension; documents without a topic (-1) are a category of the uniform draws only."""
+    pool = _with_outliers(spark, sf_dir)
+    pool = pool.withColumn("category", F.when(F.col("topic_nr") >= 0, F.col("topic_nr").cast("string")))
+    return sampling.create_subsets(pool, seed=SEED)[0]
+
+
+def _kernel_with_outliers(spark, sf_dir):
+    """Centred cosine kernel (item_i, item_j, k) of all topics, the vector of -1 being that of the documents left over."""
+    terms = topics.c_tf_idf(topics.term_counts(fx.doc_texts(spark, sf_dir), _with_outliers(spark, sf_dir)))
+    return topics.centred_cosine(topics.topic_gram(terms)).select(
+        F.col("topic_i").alias("item_i"), F.col("topic_j").alias("item_j"), F.col("cosine").alias("k"))
+
+
 def q_topic_subsample_scores(spark, sf_dir):
     """D6 on the topic dimension: 36 subsamples scored with the centred topic kernel."""
-    pool = fx.doc_topic(spark, sf_dir).withColumn("category", F.col("topic_nr").cast("string"))
-    members, _ = sampling.create_subsets(pool, seed=SEED, include_missing_uniform=False)
-    weights = members.groupBy("subsample", "topic_nr").agg(F.count("*").alias("cnt"))
-    k = topic_cosine(spark, sf_dir).select(F.col("topic_i").alias("item_i"), F.col("topic_j").alias("item_j"),
-                                             F.col("cosine").alias("k"))
-    s = diversity.vendi_kernel_weights(weights, k, ["subsample"])
+    weights = topic_members(spark, sf_dir).groupBy("subsample", "topic_nr").agg(F.count("*").alias("cnt"))
+    s = diversity.vendi_kernel_weights(weights, _kernel_with_outliers(spark, sf_dir), ["subsample"])
     return diversity.score_table(s)
 
 
@@ -165,7 +180,46 @@ SELECT topic_nr, CAST(rank AS INTEGER) AS rank, term, round(weight, 6) AS weight
 """
 
 
+def q_topic_kernel_vendi2(spark, sf_dir):
+    """V6 at order 2, all topics and without the outlier topic: T^2 / sum k^2."""
+    k = _kernel_with_outliers(spark, sf_dir)
+    inner = k.where((F.col("item_i") >= 0) & (F.col("item_j") >= 0))
+    sets = k.withColumn("topics", F.lit("all")).unionByName(inner.withColumn("topics", F.lit("without_outliers")))
+    n = F.count_if(F.col("item_i") == F.col("item_j"))
+    return sets.groupBy("topics").agg(n.alias("n"), R6(n * n / F.sum(F.col("k") * F.col("k"))).alias("vs2"))
+
+
+_SQL_KERNEL_ALL_CTE = r"""
+toks AS (SELECT coalesce(e.label, -1) AS topic_nr, unnest(regexp_extract_all(lower(d.text), '[\p{L}\p{N}_]{2,}')) AS term
+         FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id),
+tf AS (SELECT topic_nr, term, count(*) AS tf FROM toks GROUP BY ALL),
+pt AS (SELECT topic_nr, CAST(sum(tf) AS BIGINT) AS words FROM tf GROUP BY ALL),
+aa AS (SELECT floor(avg(words)) AS a FROM pt),
+pf AS (SELECT term, CAST(sum(tf) AS BIGINT) AS f FROM tf GROUP BY ALL),
+w AS (SELECT tf.topic_nr, tf.term, tf.tf, (tf.tf / pt.words) * ln(aa.a / pf.f + 1.0) AS weight
+      FROM tf JOIN pt ON tf.topic_nr = pt.topic_nr JOIN pf ON tf.term = pf.term CROSS JOIN aa),
+g AS (SELECT a.topic_nr AS topic_i, b.topic_nr AS topic_j, sum(a.weight * b.weight) AS g
+      FROM w a JOIN w b ON a.term = b.term GROUP BY ALL),
+ra AS (SELECT topic_i, avg(g) AS ra FROM g GROUP BY ALL),
+gm AS (SELECT avg(g) AS gm FROM g),
+c AS (SELECT g.topic_i, g.topic_j, g.g - x.ra - y.ra + gm.gm AS c
+      FROM g JOIN ra x ON g.topic_i = x.topic_i JOIN ra y ON g.topic_j = y.topic_i CROSS JOIN gm),
+dg AS (SELECT topic_i, c AS cd FROM c WHERE topic_i = topic_j),
+ker AS (SELECT c.topic_i, c.topic_j, CASE WHEN sqrt(di.cd) * sqrt(dj.cd) > 0 THEN c.c / (sqrt(di.cd) * sqrt(dj.cd)) ELSE 0.0 END AS k
+        FROM c JOIN dg di ON c.topic_i = di.topic_i JOIN dg dj ON c.topic_j = dj.topic_i)
+"""
+
+SQL_TOPIC_KERNEL_VENDI2 = "WITH " + _SQL_KERNEL_ALL_CTE + """
+SELECT 'all' AS topics, count_if(topic_i = topic_j)::BIGINT AS n,
+       round(count_if(topic_i = topic_j) * count_if(topic_i = topic_j) / sum(k * k), 6) AS vs2 FROM ker
+UNION ALL
+SELECT 'without_outliers', count_if(topic_i = topic_j)::BIGINT,
+       round(count_if(topic_i = topic_j) * count_if(topic_i = topic_j) / sum(k * k), 6) FROM ker WHERE topic_i >= 0 AND topic_j >= 0
+"""
+
+
 QUERIES = {
+    "topic_kernel_vendi2": q_topic_kernel_vendi2,
     "top_bigrams": q_top_bigrams,
     "reassigned_topics": q_reassigned_topics,
     "c_tf_idf": q_c_tf_idf,
@@ -180,6 +234,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "topic_kernel_vendi2": SQL_TOPIC_KERNEL_VENDI2,
     "top_bigrams": SQL_TOP_BIGRAMS,
     "c_tf_idf": SQL_C_TF_IDF,
     "top_words": SQL_TOP_WORDS,

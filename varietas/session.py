@@ -85,8 +85,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is set by the deployment and must be shared
-    storage; it is only read here.  When it is unset (local tests) a scratch
-    folder is created so ``DataFrame.checkpoint()`` works.
+    storage; it is only read here.  When it is unset a scratch folder is made if
+    the master is local (tests); on a cluster that is an error, since executors
+    would write to their own disks.
     """
     try:
         sc = spark.sparkContext
@@ -97,6 +98,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        master = sc.master if sc is not None else ""
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="varietas-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if sc is None:
         return conf_dir

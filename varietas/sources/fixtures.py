@@ -72,6 +72,12 @@ def rating(spark: SparkSession, sf_dir: str, drop_sources: tuple[str, ...] = ())
     return r
 
 
+def test_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """test_sets(source, test_set): half of the names (by md5) have a held-out set of their own."""
+    names = table(spark, sf_dir, "documents").select("source").distinct()
+    return names.withColumn("test_set", F.when(F.substring(F.md5("source"), 1, 1) < "8", "own").otherwise("shared"))
+
+
 def doc_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_topic(doc_id, topic_nr): NULL topic where a document has no vector."""
     docs = table(spark, sf_dir, "documents").select("doc_id")
@@ -100,8 +106,7 @@ def frequent_tokens(spark: SparkSession, sf_dir: str, min_df: float = 0.05,
     """Tokens found in at least ``min_df`` of all documents.
 
     A relative threshold bounds the table: at most (mean distinct words per
-    document) / min_df tokens can qualify, whatever the corpus size, so the
-    lexicon and gazetteer built from it are bounded dimension tables.
+    document) / min_df tokens can qualify, whatever the corpus size.
     """
     t = (doc_tokens(spark, sf_dir)
          .select("doc_id", F.explode_outer(F.array_distinct("tokens")).alias("word"))
@@ -111,26 +116,43 @@ def frequent_tokens(spark: SparkSession, sf_dir: str, min_df: float = 0.05,
     return df.crossJoin(F.broadcast(n_docs)).where(F.col("df") >= F.lit(min_df) * F.col("_n")).drop("_n")
 
 
-# Part-of-speech and entity labels assigned by md5 modulo 4.
+# Part-of-speech and entity labels, assigned by md5.
 POS_LABELS = ("ADJ", "ADV", "NOUN", "VERB")
 ENTITY_LABELS = ("GPE", "LOC", "PERSON", "ORG")
+#: Of this many md5 classes of a word, the first len(ENTITY_LABELS) are entities.
+ENTITY_CLASSES = 64
+
+
+def _md5_class(col: str, n: int) -> F.Column:
+    return (F.conv(F.substring(F.md5(F.col(col)), 1, 8), 16, 10).cast("long") % n).cast("int")
 
 
-def _label_by_md5(col: str, labels) -> F.Column:
-    idx = (F.conv(F.substring(F.md5(F.col(col)), 1, 8), 16, 10).cast("long") % len(labels)).cast("int")
-    return F.element_at(F.array(*[F.lit(x) for x in labels]), idx + 1)
+def vocabulary(spark: SparkSession, sf_dir: str, min_len: int = 2) -> DataFrame:
+    """vocabulary(word): every distinct token of all documents."""
+    return (doc_tokens(spark, sf_dir).select(F.explode_outer(F.array_distinct("tokens")).alias("word"))
+            .where(F.length("word") >= min_len).distinct())
 
 
-def lexicon(spark: SparkSession, sf_dir: str, min_df: float = 0.05) -> DataFrame:
-    """lexicon(word, pos): frequent tokens tagged by md5(word) modulo 4."""
-    return frequent_tokens(spark, sf_dir, min_df).select(
-        "word", _label_by_md5("word", POS_LABELS).alias("pos"))
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lexicon(word, pos): the whole vocabulary, tagged by md5(word)."""
+    labels = F.array(*[F.lit(x) for x in POS_LABELS])
+    return vocabulary(spark, sf_dir).select("word", F.element_at(labels, _md5_class("word", len(POS_LABELS)) + 1).alias("pos"))
 
 
-def gazetteer(spark: SparkSession, sf_dir: str, min_df: float = 0.05) -> DataFrame:
-    """gazetteer(surface, label): frequent tokens of >= 5 characters."""
-    return frequent_tokens(spark, sf_dir, min_df, min_len=5).select(
-        F.col("word").alias("surface"), _label_by_md5("word", ENTITY_LABELS).alias("label"))
+def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gazetteer(surface, label): the words of five or more characters in the first md5 classes, and all pairs of
+    adjacent words of which both are in them (multi-word names)."""
+    labels = F.array(*[F.lit(x) for x in ENTITY_LABELS])
+    cls = _md5_class("word", ENTITY_CLASSES)
+    one = vocabulary(spark, sf_dir, min_len=5).where(cls < len(ENTITY_LABELS))
+    one = one.select(F.col("word").alias("surface"), F.element_at(labels, cls + 1).alias("label"))
+    toks = doc_tokens(spark, sf_dir).select(F.expr(
+        "explode_outer(transform(slice(tokens, 2, greatest(size(tokens) - 1, 0)), (t, i) -> struct(tokens[i] AS a, t AS b)))")
+        .alias("p")).select("p.a", "p.b").where(F.length("a") >= 5).where(F.length("b") >= 5)
+    two = toks.where((_md5_class("a", ENTITY_CLASSES) < len(ENTITY_LABELS)) & (_md5_class("b", ENTITY_CLASSES) < len(ENTITY_LABELS)))
+    two = two.select(F.concat_ws(" ", "a", "b").alias("word")).distinct()
+    return one.unionByName(two.select(F.col("word").alias("surface"),
+                                      F.element_at(labels, _md5_class("word", len(ENTITY_LABELS)) + 1).alias("label")))
 
 
 # Three templates per category for the template suite.

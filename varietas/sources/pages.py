@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from varietas.functions.text import slug
 
-LINK_PATTERN = r'<li><a href="([^"]*)">([^<]*)</a></li>'
-PAIR_PATTERN = r"<b>([^<:]+): ([-+0-9.]+)</b>"
+LINK_PATTERN = r'<(?:li|h[1-6])><a href="([^"]*)">([^<]*)</a></(?:li|h[1-6])>'
+PAIR_PATTERN = r"<p><(?:strong|b)>([^<:]+): ([-+0-9.]+)"
 
 
 def page_links(pages: DataFrame, prefix: str = "/", suffix: str = " Bias and Reliability",
@@ -38,9 +38,11 @@ def page_titles(pages: DataFrame) -> DataFrame:
 
 def page_ratings(pages: DataFrame, metrics: Sequence[str] = ("reliability", "bias"),
                  pattern: str = PAIR_PATTERN) -> DataFrame:
-    """(page_id, <metric>...): bold pairs pivoted; the listed metrics are the columns."""
+    """(page_id, <metric>...): bold pairs pivoted; the listed metrics are the columns, the last pair of a name counts."""
     names = F.regexp_extract_all("html", F.lit(pattern), 1)
     vals = F.regexp_extract_all("html", F.lit(pattern), 2)
-    pairs = pages.select("page_id", F.explode(F.arrays_zip(names.alias("n"), vals.alias("v"))).alias("p"))
-    pairs = pairs.select("page_id", F.lower(F.trim("p.n")).alias("metric"), F.col("p.v").cast("double").alias("value"))
-    return pairs.groupBy("page_id").pivot("metric", list(metrics)).agg(F.last("value"))
+    pairs = pages.select("page_id", F.posexplode(F.arrays_zip(names.alias("n"), vals.alias("v"))).alias("pos", "p"))
+    metric = F.lower(F.trim("p.n"))
+    return pairs.groupBy("page_id").agg(*[
+        F.max_by(F.when(metric == m, F.col("p.v").cast("double")), F.when(metric == m, F.col("pos"))).alias(m)
+        for m in metrics])

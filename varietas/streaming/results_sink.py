@@ -19,15 +19,14 @@ RESULT_KEYS = ("test", "model", "category", "category_minority")
 
 def append_batch(df: DataFrame, batch_id: int, path: str) -> None:
     """foreachBatch body: write the micro-batch as partition ``batch_id``."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     (df.withColumn("batch_id", F.lit(int(batch_id)))
-     .write.mode("overwrite").partitionBy("batch_id").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
 
 
 def current_results(spark: SparkSession, path: str, keys: Sequence[str] = RESULT_KEYS,
                     order_col: str | None = None) -> DataFrame:
-    """The result table as of now: last row per key (NULL keys equal)."""
+    """The result table as of now: last row per key (NULL keys equal); ``order_col`` orders rows of one batch
+    (without it a batch must hold a key once)."""
     allr = spark.read.parquet(path)
     rest = [c for c in allr.columns if c not in keys]
     order = F.struct("batch_id", F.col(order_col)) if order_col else F.struct("batch_id")
