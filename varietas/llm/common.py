@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from varietas.session import cut_lineage, prepare
 
-#: Separators of the word rule ``[^\x20\x09-\x0D]+``.
-SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 #: Python-side batches are cut into chunks of about this many text bytes, so
@@ -37,17 +34,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def small_batches(spark: SparkSession) -> int:
-    """Rows per Arrow batch: long texts make batches of the default 10,000 rows too large.
-
-    The session setting is only lowered, and only where it still has its default.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, "1000")
-    return int(spark.conf.get(key))
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -86,6 +72,3 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> Da
             .withColumn(name, F.col("_rn") - 1 + F.col("_off"))
             .drop("_rn", "_off", "_p", pid, *[f"_g{i}" for i in range(len(group))]))
 
-
-def empty_like(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
