@@ -43,16 +43,16 @@ test AS (SELECT doc_id, label FROM split WHERE is_test)
 SQL_STRATIFIED_SPLIT = "WITH " + _SQL_SPLIT_CTE + "SELECT doc_id, label, is_test FROM split"
 
 
-def uniform_train(spark, sf_dir, reps: int = 3):
+def uniform_train(spark, sf_dir, reps: int = 3, n_total: int = N):
     """Uniform subsamples drawn from the labelled corpus minus the test set."""
     sp = split(spark, sf_dir)
     test = cut_lineage(sp.where("is_test").select("doc_id", "label"))
     pool = (fx.corpus(spark, sf_dir).where(F.col("label").isNotNull()).select("doc_id", "category", "label")
             .join(test.select("doc_id"), "doc_id", "left_anti"))
     caps = sampling.category_caps(pool)
-    alloc = sampling.allocate_uniform(caps, N).withColumn(
+    alloc = sampling.allocate_uniform(caps, n_total).withColumn(
         "subsample", F.explode(F.array(*[F.lit(f"alpha_inf_idx_{r}") for r in range(1, reps + 1)])))
-    members = sampling.draw(pool, alloc, N, SEED)
+    members = sampling.draw(pool, alloc, n_total, SEED)
     train = members.select("subsample", "doc_id", "label")
     # both are id lists read by several later stages; cut their lineage once
     return cut_lineage(train), test
