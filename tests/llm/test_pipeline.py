@@ -44,6 +44,7 @@ def test_stages_take_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for data in (docs, docs.limit(0)):
         for _, stage in cp.STAGES[:-1]:
-            assert stage(spark, data, SF).columns == COLUMNS
-            stage(spark, data, SF).collect()
+            out = stage(spark, data, SF)
+            assert out.columns == COLUMNS
+            out.collect()
         cp.shards(spark, data, SF).collect()
