@@ -214,11 +214,15 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     """
     spark = rows.sparkSession
     usable = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    place_of = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string")), 12)   # 52 bits
+    ids = usable.select(F.col(lang_col).alias("lang"), place_of.alias("h"), F.xxhash64(text_col).alias("th"))
+    # a hash border keeps about four times the rows wanted of each language, so no language is ranked whole
+    border = F.col("h").cast("double") * F.col("n") < F.lit(4.0 * docs_per_lang * 2 ** 52)
+    sizes = ids.groupBy(F.col("lang").alias("_l")).agg(F.count(F.lit(1)).alias("n"))
+    near = ids.join(F.broadcast(sizes), F.col("lang") == F.col("_l")).where(border)   # one row a language
     order = Window.partitionBy("lang").orderBy("h", "th")
-    picked = (usable.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"),
-                            F.xxhash64(text_col).alias("th"))
-              .withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= docs_per_lang)
-              .select(F.col("lang").alias("_l"), F.col("h").alias("_h"), F.col("th").alias("_t")).distinct())
+    picked = (near.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= docs_per_lang)
+              .select("_l", F.col("h").alias("_h"), F.col("th").alias("_t")).distinct())
     picked = cut(picked)   # at most docs_per_lang rows a language
     langs = tuple(sorted(r["_l"] for r in picked.select("_l").distinct().collect()))
     pieces, byte_of = load_pieces(vocabulary)
@@ -227,7 +231,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     if not langs:
         return Model((), pieces, byte_of, log_p)
     sample = usable.select(F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang"),
-                           F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.xxhash64(text_col).alias("th")).join(
+                           place_of.alias("h"), F.xxhash64(text_col).alias("th")).join(
         F.broadcast(picked), (F.col("lang") == F.col("_l")) & (F.col("h") == F.col("_h")) & (F.col("th") == F.col("_t")), "left_semi")
     place = {x: i for i, x in enumerate(langs)}
 
