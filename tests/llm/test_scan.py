@@ -1,6 +1,7 @@
 """PII surrogates and licence scan."""
 
 import re
+import textwrap
 
 import duckdb
 import pytest
@@ -122,3 +123,33 @@ def test_licence_normal_form_and_edge_cases(spark, monkeypatch, limit):
     assert [r["name"] for r in licenses.known_digests(two).collect()] == ["A or B"]
     assert licenses.scan(docs, two.limit(0)).where("whole_license IS NOT NULL").count() == 0
     assert licenses.scan(docs.limit(0), two).count() == 0
+
+
+def reset(text, width):
+    """The text with every paragraph on one line (width 0) or wrapped anew."""
+    paragraphs = [" ".join(p.split()) for p in re.split(r"\n\s*\n", text)]
+    return "\n\n".join("\n".join(textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False)) if width else p for p in paragraphs)
+
+
+def test_licences_match_however_they_are_wrapped(spark):
+    texts, want = [], []
+    for name, text in licenses.KNOWN:
+        for width in (0, 40, 57, 66, 72, 79, 100, 120):
+            texts.append(reset(text, width))
+            want.append(name)
+        texts.append("Copyright (c) 2020 Jane Roe " + " ".join(text.split()))
+        want.append(name)
+    changed = licenses.MIT.replace("COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM", "COPYRIGHT HOLDERS BE LIABLE FOR NO CLAIM")
+    lost = "\n".join(x for x in licenses.MIT.split("\n") if not x.startswith("COPYRIGHT"))
+    notices = ["Copyright 2020 X", "Copyright (c) Jane Roe", "(c) 2019-2021 X, Y", "© Jane Roe", "# Copyright The Foo Authors.",
+               "Copyright Jane Roe <jane@x.org>", "All rights reserved.", "  * All Rights Reserved. Copyright 2001 by X\r\nCopyright ACME Corp. and others"]
+    body = ["copyright notice, this list", "Copyright License. Subject to the terms", "(c) You must retain", "Copyright and Related Rights",
+            "COPYRIGHT HOLDERS OR ANYONE", "Copyright (C) <year> <name of author>", "copyright is kept by us", "All rights reserved words follow"]
+    docs = spark.createDataFrame(list(enumerate([*texts, changed, lost, *notices, *body])), "doc_id long, text string")
+    got = [r for r in licenses.scan(docs, licenses.known_licences(spark)).orderBy("id").collect()]
+    n = len(texts)
+    assert [r["whole_license"] for r in got[:n]] == want
+    assert got[n]["whole_license"] is None and got[n + 1]["whole_license"] is None
+    assert [r["text_digest"] for r in got[n + 2:n + 2 + len(notices)]] == [None] * len(notices)
+    kept = spark.createDataFrame(list(enumerate(body)), "i long, t string").select("i", licenses.canonical(F.col("t")).alias("c"))
+    assert [len(r["c"].split()) for r in kept.orderBy("i").collect()] == [len(re.findall(r"\w+", x)) for x in body]

@@ -1,6 +1,6 @@
 """Licence scan by canonical digest: normalised entire texts are hash-joined to known licence digests.
 
-The normal form ignores case, punctuation, spacing, copyright lines and
+The normal form ignores case, punctuation, spacing, copyright notices and
 equivalent spellings, so a licence matches however it was typeset.
 """
 
@@ -83,8 +83,22 @@ NOTICES = (
 
 KNOWN = (("MIT", MIT), ("ISC", ISC), ("Zlib", ZLIB), *NOTICES)
 
-#: A line that only states a copyright.
-_COPYRIGHT = r"(?mi)^[ \t#*/;%\-]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+_SIGN = r"(?:\(c\)|©|&copy;)"
+#: A notice names a year after the word or sign, or a holder after both, or a holder (a name up to the line's end) after
+#: 'Copyright'; a template's placeholder ('<year>', 'year') is none, nor is '(c)' that numbers a paragraph.
+_HOLDER = r"(?:(?-i:\p{Lu})[\p{L}\p{N}.,'’&-]*|and|of|the|others|authors|contributors|&|<[^<>\n]+>)"
+_NOT_HOLDER = (r"(?!(?:holders?|owners?|notices?|licen[sc]es?|laws?|acts?|statements?|interests?|disclaimers?|protections?|"
+               r"rights?|treat(?:y|ies)|infringements?|permissions?|and|of)\b)")
+_HEAD = (rf"(?:copyright[ \t:,]*{_SIGN}?[ \t:,]*[0-9]{{4}}|{_SIGN}[ \t]*(?:copyright[ \t:,]*)?[0-9]{{4}}"
+         rf"|(?:copyright[ \t:]*{_SIGN}|{_SIGN}[ \t]*copyright|©)[ \t:,]*(?!year\b|yyyy\b)(?:the\b|by\b|(?-i:\p{{Lu}}))"
+         rf"|(?-i:Copyright)[ \t]+(?:by[ \t]+)?{_NOT_HOLDER}(?=(?:{_HOLDER}[ \t]*){{1,10}}(?:all rights reserved\.?)?[ \t\r]*(?:\n|\z)))")
+#: Where a licence begins that is set on the line of its notice.
+_BODY = (r"(?:everyone\s+is\s+permitted|permission\s+is\s+(?:hereby\s+)?granted|permission\s+to\s+use|redistribution\s+and\s+use|"
+         r"this\s+software\s+is\s+provided|licensed\s+under|released\s+under|this\s+work\s+is\s+licensed|dedicated\s+to\s+the)\b")
+#: A line that only states a copyright, or its part before a licence; the holder's lines of the GNU licences anywhere.
+_COPYRIGHT = (r"(?i)\bcopyright\s+\(c\)\s+[0-9]{4}[\s\S]{0,250}?(?=everyone\s+is\s+permitted)"
+              rf"|(?<![^\n])[ \t#*/;%\-]*(?:(?:all rights reserved[ \t.,;!]*)?{_HEAD}[^\n]*?(?=\n|\z|\b{_BODY})"
+              r"|all rights reserved[ \t\r.!]*(?=\n|\z))")
 #: Largest table of digests that is broadcast (rows of about 60 bytes).
 BROADCAST_DIGESTS = 200_000
 
