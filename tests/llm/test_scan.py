@@ -153,3 +153,27 @@ def test_licences_match_however_they_are_wrapped(spark):
     assert [r["text_digest"] for r in got[n + 2:n + 2 + len(notices)]] == [None] * len(notices)
     kept = spark.createDataFrame(list(enumerate(body)), "i long, t string").select("i", licenses.canonical(F.col("t")).alias("c"))
     assert [len(r["c"].split()) for r in kept.orderBy("i").collect()] == [len(re.findall(r"\w+", x)) for x in body]
+
+
+def test_standard_texts_match_entire(spark):
+    texts, want = [], []
+    for r in licenses.standard_texts():
+        forms = [r["text"], *[f"{t}\n\nCopyright (c) 2020 Jane Roe\n\n{r['text']}" for t in r["titles"]],
+                 *[f"{n}\n\n{r['text']}" for n in r["notices"]], *[f"{r['text']}\n\n{a}" for a in r["appendices"]]]
+        forms += [reset(forms[-1], w) for w in (0, 58, 66, 72, 80, 100)]
+        texts += [*forms, r["text"] + " extra"]
+        want += [r["name"]] * len(forms) + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = licenses.known_licences(spark).unionByName(licenses.standard_licences(spark))
+    got = [r["whole_license"] for r in licenses.scan(docs, known).orderBy("id").collect()]
+    assert [(t[:60], len(t), g, w) for t, g, w in zip(texts, got, want) if g != w] == []
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0",
+            "Unlicense", "BSL-1.0", "MIT", "ISC", "Zlib"} == {w for w in want if w}
+
+
+def test_registered_query_knows_the_standard_texts(spark, tmp_path):
+    table = {r["name"]: r for r in licenses.standard_texts()}
+    texts = ["MIT License\n\nCopyright (c) 2020 Jane Roe\n\n" + licenses.MIT, table["Apache-2.0"]["titles"][0] + "\n\n" + table["Apache-2.0"]["text"]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries_scan.op5_license_scan(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r["whole_license"] for r in got] == ["MIT", "Apache-2.0"]

@@ -6,7 +6,9 @@ equivalent spellings, so a licence matches however it was typeset.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +101,7 @@ _BODY = (r"(?:everyone\s+is\s+permitted|permission\s+is\s+(?:hereby\s+)?granted|
 _COPYRIGHT = (r"(?i)\bcopyright\s+\(c\)\s+[0-9]{4}[\s\S]{0,250}?(?=everyone\s+is\s+permitted)"
               rf"|(?<![^\n])[ \t#*/;%\-]*(?:(?:all rights reserved[ \t.,;!]*)?{_HEAD}[^\n]*?(?=\n|\z|\b{_BODY})"
               r"|all rights reserved[ \t\r.!]*(?=\n|\z))")
+_VARIANT = f" (?:{'|'.join(a for a, _ in SPELLINGS)}) "
 #: Largest table of digests that is broadcast (rows of about 60 bytes).
 BROADCAST_DIGESTS = 200_000
 
@@ -108,9 +111,14 @@ def canonical(text: Column) -> Column:
     t = F.regexp_replace(text, _COPYRIGHT, " ")
     t = F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", " ")
     t = F.concat(F.lit(" "), F.trim(t), F.lit(" "))
-    for a, b in SPELLINGS:
-        t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(t)
+
+    def spelled(x: Column) -> Column:
+        y = x
+        for a, b in SPELLINGS:
+            y = F.replace(y, F.lit(f" {a} "), F.lit(f" {b} "))
+        return F.when(x.rlike(_VARIANT), y).otherwise(x)    # most texts have none
+
+    return F.trim(F.get(F.transform(F.array(t), spelled), F.lit(0)))
 
 
 def digest(text: Column) -> Column:
@@ -129,6 +137,22 @@ def known_licences(spark: SparkSession, texts: Iterable[tuple[str, str]] = KNOWN
     return spark.createDataFrame(list(texts), "name string, text string")
 
 
+def standard_texts() -> list[dict]:
+    """The shipped table (``license_texts.jsonl``): name, titles, notices, text and appendices of every standard licence."""
+    table = resources.files("varietas.llm").joinpath("license_texts.jsonl").read_text(encoding="utf-8")
+    return [json.loads(line) for line in table.splitlines()]
+
+
+def standard_licences(spark: SparkSession) -> DataFrame:
+    """(name, text) of every standard licence with and without a title, a template's notice and an appendix."""
+    rows = [(r["name"], r["titles"], r["notices"], r["text"], r["appendices"]) for r in standard_texts()]
+    each = spark.createDataFrame(rows, "name string, titles array<string>, notices array<string>, text string, appendices array<string>")
+    none = F.array(F.lit(""))
+    for c, parts in (("title", "titles"), ("notice", "notices"), ("appendix", "appendices")):
+        each = each.withColumn(c, F.explode(F.concat(none, parts)))
+    return each.select("name", F.concat_ws("\n\n", "title", "notice", "text", "appendix").alias("text"))
+
+
 def scan(docs: DataFrame, licences: DataFrame, text_col: str = "text", id_col: str = "doc_id",
          name_col: str = "name", licence_text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, text_digest, whole_license, line_licenses, n_license_lines.

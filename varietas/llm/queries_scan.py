@@ -20,7 +20,8 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of every document: of its entire text and of its lines."""
-    got = licenses.scan(read(spark, sf_dir, "documents"), licenses.known_licences(spark))
+    known = licenses.known_licences(spark).unionByName(licenses.standard_licences(spark))
+    got = licenses.scan(read(spark, sf_dir, "documents"), known)
     return got.select(F.col("id").alias("doc_id"), "text_digest", "whole_license",
                       F.concat_ws(",", "line_licenses").alias("line_licenses"), "n_license_lines")
 
