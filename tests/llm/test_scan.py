@@ -92,6 +92,19 @@ def test_edge_cases_and_clean_documents(spark):
             assert x not in r["text"]
 
 
+def test_hint_passes_every_pattern_alone(spark):
+    alone = {"email": "a@b.cc", "secret": "password: correcthorsebattery", "iban": "DE89370400440532013000", "hex": "abcdef" * 6,
+             "ip": "10.0.0.1", "card": "4111111111111111", "ssn": "123-45-6789", "phone": "487-555-7209", "person": "Mr. Smith"}
+    assert set(alone) == set(pii.PATTERNS)
+    more = ["api_key=AbCdEfGhIjKlMnOp", '{"token": "AbCdEfGhIjKlMnOp"}', r'{\"secret\":\"AbCdEfGhIjKlMnOp\"}', "PASSWD  =\t 'AbCdEfGhIjKlMnOp'",
+            "Api-Key:AbCdEfGhIjKlMnOp"]
+    texts = [*alone.values(), *more]
+    got = run(spark, texts)
+    assert [got[i]["n_mentions"] for i in range(len(texts))] == [1] * len(texts)
+    assert not any(x in got[i]["text"] for i in range(len(texts)) for x in ("AbCdEfGhIjKlMnOp", "correcthorsebattery", "abcdef" * 6))
+    assert run(spark, ["the token was secret, a password forgotten"])[0]["n_mentions"] == 0
+
+
 # ---- licences ----------------------------------------------------------------------------------------------
 
 def test_licence_query_matches_sql(spark):
