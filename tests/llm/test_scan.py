@@ -105,6 +105,25 @@ def test_hint_passes_every_pattern_alone(spark):
     assert run(spark, ["the token was secret, a password forgotten"])[0]["n_mentions"] == 0
 
 
+def test_secrets_and_ibans_are_replaced_whole(spark):
+    import random
+    rng, chars = random.Random(4), "abcdefghijkmnopqrstuvwxyzABCDEFGHIJKLMNPQRSTUVWXYZ0123456789"
+    key = lambda n, c=chars: "".join(rng.choice(c) for _ in range(n))
+    long, jwt, digits = key(300), ".".join(["eyJhbGciOiJIUzI1NiJ9", key(120), key(43)]), key(300, "0123456789abcdef")
+    texts = [f"api_key={long} end", f'{{"token": "{jwt}"}}. Next', f"sum {digits} end", "to NO93 8601 1117 947, or NO9386011117947.",
+             f"password: {key(5)}.{key(20)}.", "token: hello......... there"]
+    got = run(spark, texts)
+    assert [got[i]["n_mentions"] for i in range(6)] == [1, 1, 1, 2, 1, 0]
+    assert [got[i]["pii_kinds"] for i in range(6)] == [["secret"], ["secret"], ["secret"], ["iban"], ["secret"], []]
+    for t, whole, i in ((long, r"api_key=([A-Za-z0-9]{300}) end", 0), (jwt, r'\{"token": "([\w-]{20}\.\w{120}\.\w{43})"\}\. Next', 1),
+                        (digits, r"sum ([0-9a-f]{300}) end", 2)):
+        new = re.fullmatch(whole, got[i]["text"])[1]
+        assert all(t[k:k + 12] != new[k:k + 12] for k in range(0, len(t) - 12))
+    m = re.fullmatch(r"to (NO\d\d \d{4} \d{4} \d{3}), or (NO\d{13})\.", got[3]["text"])
+    assert m and m[1].replace(" ", "") == m[2] != "NO9386011117947"
+    assert re.fullmatch(r"password: \w{5}\.\w{20}\.", got[4]["text"]) and got[4]["text"] != texts[4] and got[5]["text"] == texts[5]
+
+
 # ---- licences ----------------------------------------------------------------------------------------------
 
 def test_licence_query_matches_sql(spark):
