@@ -83,6 +83,19 @@ def test_frequent_lines_are_removed_and_depleted_documents_rejected(spark):
     assert quality_rules.judge(two).where("n_removed_words > 0").count() == 0
 
 
+def test_pages_of_frequent_lines_only_count_as_documents(spark):
+    menu = [f"entry {k} of the menu that all of these pages share here" for k in "abcdef"]
+    pages = ["\n".join(p) for p in itertools.islice(itertools.permutations(menu), 60)]
+    shared = "one phrase aaa that many other lines have in common"     # one common minimum must not merge pages either
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("ghijklmnop") for _ in range(9))
+    rich = [f"the site's notice\n{shared}\n" + " ".join(word() for _ in range(30)) for _ in range(60)]
+    got = {r["id"]: r for r in quality_rules.judge(frame(spark, pages).union(frame(spark, [None] * 60 + rich, "t"))
+                                                   .where("text IS NOT NULL")).collect()}
+    assert all(got[i]["depleted"] and not got[i]["kept"] and len(got[i]["removed"]) == 6 for i in range(60))
+    assert all(got[i]["kept"] and got[i]["n_removed_words"] == 13 for i in range(60, 120))
+
+
 # ---- SimHash -----------------------------------------------------------------------------------------------
 
 def slow_fingerprint(text):

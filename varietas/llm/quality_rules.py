@@ -71,34 +71,23 @@ def line_hash(normal: bytes) -> int:
     return _number(_digest(normal))
 
 
-def line_sketch(normal: bytes, size: int = 3) -> int:
-    """Smallest hash of the line's ``size``-word shingles: lines with most shingles in common mostly share it."""
-    words = normal.split()
-    if len(words) <= size:
-        return line_hash(normal)
-    return _number(min(_digest(b" ".join(x)) for x in zip(*[words[i:] for i in range(size)])))
-
-
 def _facts(text: bytes, size: int) -> dict:
-    hashes, lens, sketches, seen, dup, words = [], [], [], set(), 0, []
+    hashes, lens, seen, dup, words = [], [], set(), 0, []
     for line in text.split(b"\n"):
         if own := line.split():   # bytes split at \x20 and \x09-\x0D only
             dup += line in seen
             seen.add(line)
-            normal = normal_line(own)
-            hashes.append(line_hash(normal))
-            sketches.append(line_sketch(normal))
+            hashes.append(line_hash(normal_line(own)))
             lens.append(len(own))
             words += own
     flat = b"".join(words)
     return {"n_words": len(words), "word_chars": len(flat.translate(None, _CONTINUATION)),
             "n_symbols": len(text) - len(text.translate(None, _SYMBOLS)), "n_dup_lines": dup,
-            "n_repeat_words": repeat_words(words, size), "lines": hashes, "line_words": lens, "sketches": sketches}
+            "n_repeat_words": repeat_words(words, size), "lines": hashes, "line_words": lens}
 
 
 _FACTS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()),
-          ("n_repeat_words", pa.int64()), ("lines", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int64())),
-          ("sketches", pa.list_(pa.int64()))]
+          ("n_repeat_words", pa.int64()), ("lines", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int64()))]
 
 
 def _fact_batches(size: int):
@@ -119,13 +108,7 @@ def judge(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", host_
     n_repeat_words, n_removed_words (long), removed (hashes of the normalised lines to
     remove), base_failed, depleted, kept (boolean).
 
-    *Distinct documents*: a line above the limits by the number of distinct texts is a
-    candidate.  A document with candidates is then known by a sketch of its other
-    lines (of all lines, if there is no other), and a candidate is removed
-    if it is above the limits by the number of distinct sketches as well.  Pages of one host that
-    share a menu have different sketches; a group of near copies has few,
-    whatever its size, so copies do not make their own lines boilerplate:
-    they are for the near-duplicate stage.
+    *Distinct documents* are distinct texts, for a line as for its host: exact copies count once, near copies each.
 
     Cases: null and empty texts have no words and fail the base rules; a null host is a host;
     repeated rows are judged alike and count once; lines without a word are
@@ -140,28 +123,18 @@ def judge(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", host_
                        F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
     facts = seen.mapInArrow(_fact_batches(limits.window), f"""id {id_type}, host string, text_hash long, n_words long,
         word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>,
-        line_words array<long>, sketches array<long>""")
+        line_words array<long>""")
     facts = cut(facts.withColumn("row", F.monotonically_increasing_id()))
-    each = facts.select("row", "host", "text_hash", F.explode(F.arrays_zip("lines", "line_words", "sketches")).alias("l"))
-    each = each.select("row", "host", "text_hash", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"),
-                       F.col("l.sketches").alias("sketch"))
-    hosts = cut(facts.where(F.size("lines") > 0).select(F.col("host").alias("dh"), "text_hash").distinct()
-                .groupBy("dh").agg(F.count(F.lit(1)).alias("host_docs")))
-
-    def above(seen_in: DataFrame) -> DataFrame:
-        """(h, l) above the limits, of distinct (host, line, document)."""
-        n = seen_in.distinct().groupBy(F.col("host").alias("h"), F.col("line").alias("l")).agg(F.count(F.lit(1)).alias("n"))
-        n = n.where(F.col("n") > limits.line_docs).join(hosts, F.col("h").eqNullSafe(F.col("dh")))
-        return cut(n.where(F.col("n") > F.lit(float(limits.line_share)) * F.col("host_docs")).select("h", "l"))
-
+    each = facts.select("row", "host", "text_hash", F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
+    each = each.select("row", "host", "text_hash", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
+    hosts = (facts.where(F.size("lines") > 0).select(F.col("host").alias("dh"), "text_hash").distinct()
+             .groupBy("dh").agg(F.count(F.lit(1)).alias("host_docs")))
+    n = (each.select("host", "line", "text_hash").distinct().groupBy(F.col("host").alias("h"), F.col("line").alias("l"))
+         .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limits.line_docs))
+    n = n.join(hosts, F.col("h").eqNullSafe(F.col("dh")))
+    frequent = cut(n.where(F.col("n") > F.lit(float(limits.line_share)) * F.col("host_docs")).select("h", "l"))
     same = F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))
-    candidates = above(each.select("host", "line", "text_hash"))
-    others = each.join(candidates, same, "left_anti").groupBy(F.col("row").alias("o")).agg(F.min("sketch").alias("rest"))
-    held = each.join(candidates, same, "left_semi")
-    known = held.join(others, F.col("row") == F.col("o"), "left").join(
-        facts.select(F.col("row").alias("w"), F.array_min("sketches").alias("whole")), F.col("row") == F.col("w"))
-    frequent = above(known.select("host", "line", F.coalesce("rest", "whole").alias("sketch")))
-    lost = (held.join(frequent, same, "left_semi").groupBy(F.col("row").alias("lost_row"))
+    lost = (each.join(frequent, same, "left_semi").groupBy(F.col("row").alias("lost_row"))
             .agg(F.sum("words").alias("lost_words"), F.collect_set("line").alias("removed")))
     out = facts.join(lost, F.col("row") == F.col("lost_row"), "left")
     n, gone = F.col("n_words"), F.coalesce(F.col("lost_words"), F.lit(0))
