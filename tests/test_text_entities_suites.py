@@ -91,3 +91,16 @@ def test_results_stream_upsert(spark):
     start_results_stream(spark.readStream.schema(schema).parquet(inp), f"{base}/table", f"{base}/ck").awaitTermination(120)
     r = {(x["category"], x["category_minority"]): x["Accuracy"] for x in current_results(spark, f"{base}/table").collect()}
     assert r == {(None, None): 0.9, ("c", "x"): 0.2}
+
+
+def test_cluster_entities_keeps_every_word_of_a_large_vocabulary(spark):
+    # more words than PCA has columns for: 70,000 words of one document each, and two groups
+    docs = spark.range(70_000).select(F.col("id").alias("doc_id"), F.array(
+        F.concat(F.lit("w"), F.col("id").cast("string")),
+        F.when(F.col("id") % 2 == 0, "aaa aaa aaa aaa").otherwise("zzz zzz zzz zzz")).alias("entities"))
+    bags, size = E._bags(docs.withColumn("_words", F.flatten(F.transform("entities", lambda e: F.split(e, " ")))))
+    from pyspark.ml.functions import vector_to_array
+    total = bags.select(F.aggregate(vector_to_array("_bow"), F.lit(0.0), lambda a, x: a + x).alias("n")).distinct().collect()
+    assert size == E.HASHED and [r["n"] for r in total] == [5.0]
+    got = E.cluster_entities(docs, k=2, n_components=2).groupBy(F.col("doc_id") % 2, "entity_cluster").count().collect()
+    assert len(got) == 2 and {r["count"] for r in got} == {35_000}
