@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from varietas.llm import queries_filter, queries_layout, queries_models, queries_scan
+from varietas.llm import queries_filter, queries_layout, queries_models, queries_scan, queries_sketch, queries_vectors
 
-_MODULES = [queries_scan, queries_filter, queries_layout, queries_models]
+_MODULES = [queries_scan, queries_filter, queries_layout, queries_models, queries_sketch, queries_vectors]
 
 
 def queries():
