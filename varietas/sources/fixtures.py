@@ -119,8 +119,6 @@ def frequent_tokens(spark: SparkSession, sf_dir: str, min_df: float = 0.05,
 # Part-of-speech and entity labels, assigned by md5.
 POS_LABELS = ("ADJ", "ADV", "NOUN", "VERB")
 ENTITY_LABELS = ("GPE", "LOC", "PERSON", "ORG")
-#: Of this many md5 classes of a word, the first len(ENTITY_LABELS) are entities.
-ENTITY_CLASSES = 64
 
 
 def _md5_class(col: str, n: int) -> F.Column:
@@ -140,19 +138,16 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """gazetteer(surface, label): the words of five or more characters in the first md5 classes, and all pairs of
-    adjacent words of which both are in them (multi-word names)."""
+    """gazetteer(surface, label): every word of five or more characters, and every pair of adjacent words of such
+    length that stands with two capitals somewhere (multi-word names); labels by md5."""
     labels = F.array(*[F.lit(x) for x in ENTITY_LABELS])
-    cls = _md5_class("word", ENTITY_CLASSES)
-    one = vocabulary(spark, sf_dir, min_len=5).where(cls < len(ENTITY_LABELS))
-    one = one.select(F.col("word").alias("surface"), F.element_at(labels, cls + 1).alias("label"))
-    toks = doc_tokens(spark, sf_dir).select(F.expr(
-        "explode_outer(transform(slice(tokens, 2, greatest(size(tokens) - 1, 0)), (t, i) -> struct(tokens[i] AS a, t AS b)))")
-        .alias("p")).select("p.a", "p.b").where(F.length("a") >= 5).where(F.length("b") >= 5)
-    two = toks.where((_md5_class("a", ENTITY_CLASSES) < len(ENTITY_LABELS)) & (_md5_class("b", ENTITY_CLASSES) < len(ENTITY_LABELS)))
-    two = two.select(F.concat_ws(" ", "a", "b").alias("word")).distinct()
-    return one.unionByName(two.select(F.col("word").alias("surface"),
-                                      F.element_at(labels, _md5_class("word", len(ENTITY_LABELS)) + 1).alias("label")))
+    words = tokenize("text", lower=False)
+    pairs = table(spark, sf_dir, "documents").select("doc_id", words.alias("ws")).select(F.expr(
+        "explode_outer(transform(slice(ws, 2, greatest(size(ws) - 1, 0)), (t, i) -> struct(ws[i] AS a, t AS b)))")
+        .alias("p")).select("p.a", "p.b").where((F.length("a") >= 5) & (F.length("b") >= 5))
+    pairs = pairs.where(F.col("a").rlike(r"^\p{Lu}") & F.col("b").rlike(r"^\p{Lu}"))
+    every = vocabulary(spark, sf_dir, min_len=5).unionByName(pairs.select(F.lower(F.concat_ws(" ", "a", "b")).alias("word")).distinct())
+    return every.select(F.col("word").alias("surface"), F.element_at(labels, _md5_class("word", len(ENTITY_LABELS)) + 1).alias("label"))
 
 
 # Three templates per category for the template suite.
