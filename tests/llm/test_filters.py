@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 
 import duckdb
@@ -20,10 +21,12 @@ def frame(spark, texts, source="s"):
     return spark.createDataFrame([(i, t, "en", source, len(t or "")) for i, t in enumerate(texts)], SCHEMA)
 
 
-def oracle(name):
+def oracle(name, folder=SMALL):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
+        if os.path.exists(f"{folder}/{t}.parquet"):
+            at = f"{folder}/{t}.parquet" if os.path.isfile(f"{folder}/{t}.parquet") else f"{folder}/{t}.parquet/*.parquet"
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{at}')")
     res = con.execute(queries_filter.ORACLE[name])
     cols = [d[0] for d in res.description]
     return cols, sorted(res.fetchall())
@@ -83,6 +86,18 @@ def test_frequent_lines_are_removed_and_depleted_documents_rejected(spark):
     assert quality_rules.judge(two).where("n_removed_words > 0").count() == 0
 
 
+def test_sql_agrees_on_pages_of_frequent_lines(spark, tmp_path):
+    menu = [f"entry {k} of the menu that all of these pages share here" for k in "abcdefgh"]
+    rng = random.Random(4)
+    pages = ["\n".join(rng.sample(menu, 5)) for _ in range(200)]
+    rich = [f"the menu of this site\n{' '.join(str(rng.random()).replace('0.', 'w') for _ in range(30))}" for _ in range(40)]
+    docs = frame(spark, pages).union(frame(spark, [*rich, None, "", *rich[:3]], "t")).union(frame(spark, rich[:15], None))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    cols, want = oracle("op4_quality_rules", str(tmp_path))
+    got = queries_filter.op4_quality_rules(spark, str(tmp_path)).select(*cols).collect()
+    assert sorted(tuple(r) for r in got) == want and sum(not r["kept"] for r in got) >= 200
+
+
 def test_pages_of_frequent_lines_only_count_as_documents(spark):
     menu = [f"entry {k} of the menu that all of these pages share here" for k in "abcdef"]
     pages = ["\n".join(p) for p in itertools.islice(itertools.permutations(menu), 60)]

@@ -67,6 +67,20 @@ def test_expected_counts_brute_force():
     assert np.allclose(got[:, 1], 3 * want / total) and not got[:, 0].any()
 
 
+def test_long_words_teach_as_short_ones(monkeypatch):
+    rng = np.random.default_rng(2)
+    pieces, byte_of = langid.load_pieces(langid.VOCABULARY)
+    log_p = np.log(rng.dirichlet(np.full(len(pieces), 0.5), 2).T + 1e-12)
+    words = ["Haus", "größe", "antidisestablishmentarianism", "漢字", "x"]
+    lang, weight = np.array([0, 1, 0, 1, 1]), np.array([1.0, 2.0, 3.0, 1.0, 5.0])
+    lattice = langid.Lattice(pieces, byte_of)
+    plain = langid.expected_counts(lattice, words, lang, weight, log_p)
+    monkeypatch.setattr(langid, "_LONG", 0)
+    assert np.allclose(langid.expected_counts(lattice, words, lang, weight, log_p), plain, rtol=1e-9, atol=1e-12)
+    long = langid.expected_counts(lattice, ["ab" * 4000], np.array([1]), np.array([1.0]), log_p)
+    assert np.isfinite(long).all() and 500 < long.sum() <= 8001
+
+
 def test_langid_held_out_accuracy(spark):
     got = queries_models.op2_langid(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
     rows = got.collect()

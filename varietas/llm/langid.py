@@ -160,6 +160,28 @@ def _long_score(lattice: Lattice, word: str, log_p: np.ndarray) -> np.ndarray:
     return alpha[len(marked)]
 
 
+def _long_counts(lattice: Lattice, word: str, lang: int, weight: float, log_p: np.ndarray, total: np.ndarray) -> None:
+    """Adds one word's expected uses to ``total``: forward-backward in logs, in time linear in the word."""
+    marked, p = _MARK + word, log_p[:, lang]
+    n = len(marked)
+    alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    alpha[0] = beta[n] = 0.0
+    edges = []          # (start, end, piece or none, log probability), by end
+    for j in range(1, n + 1):
+        for size in range(1, min(j, lattice.longest) + 1):
+            piece = lattice.number.get(marked[j - size:j])
+            if piece is None and size > 1:
+                continue
+            x = float(lattice.spell(marked[j - 1], log_p)[lang] if piece is None else p[piece])
+            edges.append((j - size, j, piece, x))
+            alpha[j] = np.logaddexp(alpha[j], alpha[j - size] + x)
+    for i, j, _, x in reversed(edges):
+        beta[i] = np.logaddexp(beta[i], x + beta[j])
+    for i, j, piece, x in edges:
+        if piece is not None:
+            total[piece, lang] += weight * np.exp(alpha[i] + x + beta[j] - alpha[n])
+
+
 def expected_counts(lattice: Lattice, words: list[str], lang: np.ndarray, weight: np.ndarray, log_p: np.ndarray) -> np.ndarray:
     """Expected uses of every piece per language: forward-backward over all segmentations of each word."""
     total = np.zeros_like(log_p)
@@ -167,6 +189,10 @@ def expected_counts(lattice: Lattice, words: list[str], lang: np.ndarray, weight
     for k, w in enumerate(words):
         by_length.setdefault(len(w), []).append(k)
     for n, places in by_length.items():
+        if n > _LONG:
+            for k in places:
+                _long_counts(lattice, words[k], int(lang[k]), float(weight[k]), log_p, total)
+            continue
         for at in range(0, len(places), 20_000):
             part = np.array(places[at:at + 20_000])
             codes, own = _codes([words[k] for k in part]), lang[part]
@@ -180,8 +206,11 @@ def expected_counts(lattice: Lattice, words: list[str], lang: np.ndarray, weight
                 alpha[i + size] += alpha[i] * x
             for (i, size), x in sorted(prob.items(), key=lambda e: -e[0][0]):
                 beta[i] += x * beta[i + size]
+            low = alpha[length] < 1e-280                     # too small for plain numbers
+            for k in part[low].tolist():
+                _long_counts(lattice, words[k], int(lang[k]), float(weight[k]), log_p, total)
             with np.errstate(divide="ignore", invalid="ignore"):
-                scale = np.where(alpha[length] > 0, weight[part] / alpha[length], 0.0)
+                scale = np.where(low, 0.0, weight[part] / alpha[length])
             for (i, size), x in prob.items():
                 piece = found[i, size]
                 use = (piece >= 0) & (piece < len(log_p))   # spelt characters teach nothing about pieces
@@ -204,12 +233,11 @@ class Model:
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-        vocabulary: str = VOCABULARY, docs_per_lang: int = 1000, rounds: int = 3, max_fit_word: int = 32) -> Model:
+        vocabulary: str = VOCABULARY, docs_per_lang: int = 1000, rounds: int = 3) -> Model:
     """Piece probabilities from a bounded sample of labelled rows.
 
     Parameters bound the fit only: of each language the ``docs_per_lang`` rows
-    with the smallest id hash are used (whole texts; words over ``max_fit_word`` letters
-    teach nothing).  Word counts and the E-step are distributed; the driver holds the
+    with the smallest id hash are used (whole texts, all words).  Word counts and the E-step are distributed; the driver holds the
     model (pieces x languages).  Rows without text or language are left out.
     """
     spark = rows.sparkSession
@@ -240,7 +268,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             seen: Counter = Counter()
             for text, lang in zip(b.column("text"), b.column("lang")):
                 own = place[lang.as_py()]
-                seen.update((own, w) for w in words_of(text.as_py().decode("utf-8", "replace")) if len(w) <= max_fit_word)
+                seen.update((own, w) for w in words_of(text.as_py().decode("utf-8", "replace")))
             yield pa.RecordBatch.from_pydict({
                 "lang": pa.array([a for a, _ in seen], pa.int32()), "word": pa.array([w for _, w in seen], pa.string()),
                 "n": pa.array(list(seen.values()), pa.int64())})

@@ -113,10 +113,10 @@ def canonical(text: Column) -> Column:
     t = F.concat(F.lit(" "), F.trim(t), F.lit(" "))
 
     def spelled(x: Column) -> Column:
-        y = x
+        y = F.replace(x, F.lit(" "), F.lit("  "))            # neighbours share no blank
         for a, b in SPELLINGS:
-            y = F.replace(y, F.lit(f" {a} "), F.lit(f" {b} "))
-        return F.when(x.rlike(_VARIANT), y).otherwise(x)    # most texts have none
+            y = F.replace(y, F.lit(f" {a} ".replace(" ", "  ")[1:-1]), F.lit(f" {b} ".replace(" ", "  ")[1:-1]))
+        return F.when(x.rlike(_VARIANT), F.replace(y, F.lit("  "), F.lit(" "))).otherwise(x)    # most texts have none
 
     return F.trim(F.get(F.transform(F.array(t), spelled), F.lit(0)))
 

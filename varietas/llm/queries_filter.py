@@ -45,19 +45,11 @@ real AS (SELECT r, source, pos, line, regexp_extract_all(line, '[^\x20\x09-\x0D]
 hashed AS (SELECT *, md5(norm) AS h, row_number() OVER (PARTITION BY r, line ORDER BY pos) AS nth FROM (SELECT *,
     regexp_replace(translate(list_aggregate(lw, 'string_agg', ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g') AS norm FROM real)),
-sketched AS (SELECT r, source, pos, line, lw, h, nth, CASE WHEN len(lw) <= 3 THEN h ELSE list_min(list_transform(
-    range(0, len(nw) - 2), lambda k: md5(nw[k + 1] || ' ' || nw[k + 2] || ' ' || nw[k + 3]))) END AS sk
-    FROM (SELECT *, string_split(norm, ' ') AS nw FROM hashed)),
 texts AS (SELECT r, md5(t) AS th FROM d),
 hosts AS (SELECT source, count(DISTINCT th) AS host_docs FROM hashed JOIN texts USING (r) GROUP BY 1),
 cand AS (SELECT s, h FROM (SELECT source AS s, h, count(DISTINCT th) AS n FROM hashed JOIN texts USING (r) GROUP BY 1, 2)
     JOIN hosts ON s IS NOT DISTINCT FROM source WHERE n > 10 AND n > 0.02::DOUBLE * host_docs),
-reps AS (SELECT r, coalesce(min(sk) FILTER (WHERE cand.h IS NULL), min(sk)) AS rep FROM sketched
-    LEFT JOIN cand ON sketched.h = cand.h AND source IS NOT DISTINCT FROM s GROUP BY 1),
-bad AS (SELECT s, h FROM (SELECT s, cand.h, count(DISTINCT rep) AS n FROM sketched JOIN cand ON sketched.h = cand.h
-    AND source IS NOT DISTINCT FROM s JOIN reps USING (r) GROUP BY 1, 2) JOIN hosts ON s IS NOT DISTINCT FROM source
-    WHERE n > 10 AND n > 0.02::DOUBLE * host_docs),
-lost AS (SELECT r, sum(len(lw)) AS lost FROM hashed JOIN bad ON hashed.h = bad.h AND hashed.source IS NOT DISTINCT FROM bad.s
+lost AS (SELECT r, sum(len(lw)) AS lost FROM hashed JOIN cand ON hashed.h = cand.h AND source IS NOT DISTINCT FROM s
     GROUP BY 1),
 dups AS (SELECT r, count_if(nth > 1) AS n_dup FROM hashed GROUP BY 1),
 win AS (SELECT r, unnest(range(0, len(w) - 7)) AS i,
