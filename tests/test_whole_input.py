@@ -21,7 +21,7 @@ def cosine_distances(x):
 
 
 def test_every_anchor_is_answered(spark, monkeypatch):
-    monkeypatch.setattr(diversity, "ANCHOR_BATCH", 30)      # several broadcast batches
+    monkeypatch.setattr(diversity, "PIVOTS", 5)
     x, p = vectors(spark, 300)
     got = {(r["anchor_id"], r["doc_id"]) for r in diversity.within_radius(p, p.where("doc_id < 100"), 0.3).collect()}
     d = cosine_distances(x)[:100]

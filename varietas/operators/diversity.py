@@ -174,6 +174,8 @@ def gram_partials(df: DataFrame, keys: Sequence[str], vec: str = "_u") -> DataFr
             for kv, sub in grp:
                 kv = kv if isinstance(kv, tuple) else (kv,)
                 x = np.stack(sub[vec].to_numpy()).astype(np.float64)
+                if x.shape[1] > MAX_DIM:
+                    raise ValueError(f"vector dimension {x.shape[1]} exceeds {MAX_DIM}; reduce it first")
                 gm = x.T @ x
                 if kv in acc:
                     acc[kv][0] += gm
@@ -181,10 +183,7 @@ def gram_partials(df: DataFrame, keys: Sequence[str], vec: str = "_u") -> DataFr
                 else:
                     acc[kv] = [gm, len(sub)]
         for kv, (gm, cnt) in acc.items():
-            d = gm.shape[0]
-            if d > MAX_DIM:
-                raise ValueError(f"vector dimension {d} exceeds {MAX_DIM}; reduce it first")
-            iu, ju = np.triu_indices(d)
+            iu, ju = np.triu_indices(gm.shape[0])
             frame = pd.DataFrame({"i": np.concatenate([[-1], iu]).astype(np.int32),
                                   "j": np.concatenate([[-1], ju]).astype(np.int32),
                                   "g": np.concatenate([[float(cnt)], gm[iu, ju]])})
@@ -306,28 +305,101 @@ def l2_expr(a, b):
                               lambda s, x: s + x))
 
 
-ANCHOR_BATCH = 1024   # anchors per broadcast: 1024 x 512 dimensions are 4 MB
+#: Pivots of the distance index, and points among which the far ones are chosen.
+PIVOTS, PIVOT_SAMPLE = 16, 512
+#: Slack of the bounds for rounding.
+_SLACK = 1e-7
 
 
-def within_radius(points: DataFrame, anchors: DataFrame, radius: float, metric: str = "cosine",
+def _straight(v, metric: str) -> np.ndarray | None:
+    """The vector whose straight distances are searched: itself, or of length one under cosine (none for zero)."""
+    x = np.asarray(v, np.float64)
+    if metric == "l2":
+        return x
+    n = np.sqrt((x * x).sum())
+    return x / n if n > 0 else None
+
+
+class PivotIndex:
+    """Points with their distances from a few pivots; the triangle inequality rules most others out.
+
+    ``points`` has the columns of the input and _pd (distances from the pivots; null for a point that has
+    none: no vector, or a zero vector under cosine), _cell (nearest pivot) and _near (distance from it).  Cosine is searched as the straight
+    distance of unit vectors, sqrt(2 x cosine distance), which is a metric.
+    """
+
+    def __init__(self, points: DataFrame, metric: str = "cosine", vec: str = "embedding", id_col: str = "doc_id", seed: int = 42):
+        from varietas.functions.hashing import hash_order
+
+        if metric not in ("cosine", "l2"):
+            raise ValueError(f"unknown metric {metric}")
+        self.metric, self.vec, self.id_col = metric, vec, id_col
+        some = (points.where(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("v"))
+                .orderBy(hash_order(seed, F.lit("pivot"), id_col)).limit(PIVOT_SAMPLE).collect())     # a bounded sample
+        self.pivots = self._far_apart([u for r in some if (u := _straight(r["v"], metric)) is not None])
+        self.points = cut_lineage(self.measured(points))
+
+    @staticmethod
+    def _far_apart(sample: list[np.ndarray]) -> np.ndarray:
+        """Each further pivot is the sample's point farthest from those before."""
+        if not sample:
+            return np.zeros((0, 0))
+        x, chosen = np.stack(sample), [0]
+        least = np.sqrt(((x - x[0]) ** 2).sum(1))
+        while len(chosen) < min(PIVOTS, len(x)) and least.max() > 0:
+            chosen.append(int(least.argmax()))
+            least = np.minimum(least, np.sqrt(((x - x[chosen[-1]]) ** 2).sum(1)))
+        return x[chosen]
+
+    def measured(self, df: DataFrame) -> DataFrame:
+        pivots, metric = self.pivots, self.metric
+
+        def distances(vectors: pd.Series) -> pd.Series:
+            units = [None if v is None or not len(pivots) else _straight(v, metric) for v in vectors]
+            return pd.Series([None if u is None else np.sqrt(((pivots - u) ** 2).sum(1)) for u in units], dtype=object)
+        pd_of = F.pandas_udf(distances, "array<double>")
+        out = df.withColumn("_pd", pd_of(F.col(self.vec).cast("array<double>")))
+        return out.withColumn("_near", F.array_min("_pd")).withColumn("_cell", (F.array_position("_pd", F.col("_near")) - 1).cast("int"))
+
+    def candidates(self, anchors: DataFrame, radius: float) -> DataFrame:
+        """(anchor_id, _a, id, _p): the pairs that no pivot rules out, by an equi-join on (cell, range of distances).
+
+        An anchor asks, of every cell, for the ranges between its distance from the pivot less and plus the radius;
+        a cell whose pivot is farther from it than another by over twice the radius holds nothing near.
+        """
+        r = float(np.sqrt(2 * radius) if self.metric == "cosine" else radius) + _SLACK if radius >= 0 else -1.0
+        width = max(r, 1e-6)
+        a = self.measured(anchors).select(F.col(self.id_col).alias("anchor_id"), F.col(self.vec).cast("array<double>").alias("_a"),
+                                          F.col("_pd").alias("_ad"), F.col("_near").alias("_an"))
+        p = self.points.select(self.id_col, F.col(self.vec).cast("array<double>").alias("_p"), "_pd", "_cell",
+                               F.floor(F.col("_near") / width).alias("_range"))
+        asks = a.where(F.col("_ad").isNotNull() & F.lit(r >= 0)).select("*", F.posexplode("_ad").alias("_cell", "_d"))
+        asks = asks.where(F.col("_d") - F.col("_an") <= 2 * r)
+        asks = asks.withColumn("_range", F.explode(F.sequence(F.floor(F.greatest(F.col("_d") - r, F.lit(0.0)) / width),
+                                                              F.floor((F.col("_d") + r) / width))))
+        met = p.join(asks, ["_cell", "_range"])
+        possible = F.forall(F.zip_with("_pd", "_ad", lambda x, y: F.abs(x - y)), lambda d: d <= r)
+        found = met.where(possible).select("anchor_id", "_a", self.id_col, "_p")
+        if self.metric == "cosine" and radius >= 1.0:
+            # a zero vector is at distance 1 from all: such pairs are part of the result, not a search
+            every = self.points.where(F.col(self.vec).isNotNull())
+            zero = a.where(F.col("_ad").isNull() & F.col("_a").isNotNull())
+            for left, right in ((zero, every), (a.where(F.col("_ad").isNotNull()), every.where(F.col("_pd").isNull()))):
+                found = found.unionByName(left.select("anchor_id", "_a").join(right.select(
+                    self.id_col, F.col(self.vec).cast("array<double>").alias("_p")), how="cross"))
+        return found
+
+
+def within_radius(points: DataFrame | PivotIndex, anchors: DataFrame, radius: float, metric: str = "cosine",
                   vec: str = "embedding", id_col: str = "doc_id") -> DataFrame:
-    """(anchor_id, id, dist) for every point within ``radius`` of an anchor.
+    """(anchor_id, id, dist) for every point within ``radius`` of an anchor, any number of anchors.
 
-    Any number of anchors: they are counted and dealt by hash into batches of about
-    ``ANCHOR_BATCH`` rows, each compared with every point in one broadcast
-    nested-loop pass; the points are never shuffled.
+    The pivots' bounds choose the pairs, the distance itself decides.  ``points`` may be an index made before.
     """
-    a = anchors.select(F.col(id_col).alias("anchor_id"), F.col(vec).cast("array<double>").alias("_a"))
-    p = points.select(id_col, F.col(vec).cast("array<double>").alias("_p"))
-    batches = max(1, -(-a.count() // ANCHOR_BATCH))
-    out = None
-    for b in range(batches):
-        own = a if batches == 1 else a.where(F.pmod(F.xxhash64("anchor_id"), F.lit(batches)) == b)
-        pairs = p.crossJoin(F.broadcast(own))
-        dist = 1.0 - cosine_expr(F.col("_p"), F.col("_a")) if metric == "cosine" else l2_expr(F.col("_p"), F.col("_a"))
-        near = pairs.select("anchor_id", id_col, dist.alias("dist")).where(F.col("dist") <= radius)
-        out = near if out is None else out.unionByName(near)
-    return out
+    index = points if isinstance(points, PivotIndex) else PivotIndex(points, metric, vec, id_col)
+    pairs = index.candidates(anchors, radius)
+    dist = 1.0 - cosine_expr(F.col("_p"), F.col("_a")) if index.metric == "cosine" else l2_expr(F.col("_p"), F.col("_a"))
+    return pairs.select("anchor_id", index.id_col, dist.alias("dist")).where(F.col("dist") <= radius)
 
 
 def radius_sample(points: DataFrame, n: int, radius: float, seed: int = 42, batch: int = 32,
@@ -341,6 +413,7 @@ def radius_sample(points: DataFrame, n: int, radius: float, seed: int = 42, batc
     from varietas.functions.hashing import hash_order
 
     tried, best_seen = None, 0
+    index = PivotIndex(points, metric, vec, id_col)
     order = points.withColumn("_h", hash_order(seed, F.lit("anchor"), id_col))
     while True:
         rest = order if tried is None else order.where(
@@ -351,7 +424,7 @@ def radius_sample(points: DataFrame, n: int, radius: float, seed: int = 42, batc
             kind = {f.name: f.dataType.simpleString() for f in points.schema.fields}[id_col]
             return points.sparkSession.createDataFrame([(None, None, None, best_seen)],
                                                        f"anchor_id {kind}, {id_col} {kind}, dist double, n_within long")
-        near = within_radius(points, anchors, radius, metric, vec, id_col)
+        near = within_radius(index, anchors, radius)
         counts = cut_lineage(near.groupBy("anchor_id").agg(F.count("*").alias("n_within")).join(
             anchors.select(F.col(id_col).alias("anchor_id"), "_h"), "anchor_id"))   # at most ``batch`` rows
         best_seen = max(best_seen, counts.agg(F.max("n_within")).first()[0] or 0)
@@ -360,7 +433,7 @@ def radius_sample(points: DataFrame, n: int, radius: float, seed: int = 42, batc
             break
         tried, batch = (last["_h"], last[id_col]), batch * 2
     chosen = anchors.join(F.broadcast(best.select(F.col("anchor_id").alias(id_col))), id_col, "left_semi")
-    near = within_radius(points, chosen, radius, metric, vec, id_col).join(F.broadcast(best.select("anchor_id", "n_within")), "anchor_id")
+    near = within_radius(index, chosen, radius).join(F.broadcast(best.select("anchor_id", "n_within")), "anchor_id")
     w = Window.partitionBy("anchor_id").orderBy(hash_order(seed, F.lit("pick"), id_col), id_col)
     return (near.withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") <= n))
             .select("anchor_id", id_col, "dist", "n_within"))

@@ -99,13 +99,28 @@ def prefer_variant(df: DataFrame, col: str = "source", suffix: str = "-website",
     """drop rows whose name contains the base name of a ``suffix`` row
     (unless they are one), then strip the suffix.
 
-    The base names are a distinct set of outlet names; the anti join uses
-    ``contains`` as its condition.  ``exact=True`` compares whole names.
+    A base is found by its first ``GRAM`` characters (all, if it has fewer), which a name that contains it
+    has somewhere: distinct names and bases meet on that key and are then compared.
+    ``exact=True`` compares whole names.
     """
     variants = df.where(F.col(col).endswith(suffix))
-    bases = variants.select(F.expr(f"substring({col}, 1, length({col}) - {len(suffix)})").alias("_base")).distinct()
+    base = F.expr(f"substring({col}, 1, length({col}) - {len(suffix)})")
+    bases = variants.select(base.alias("_base")).distinct()
     others = df.where(~F.col(col).endswith(suffix) | F.col(col).isNull())
-    cond = (others[col] == bases["_base"]) if exact else others[col].contains(bases["_base"])
-    kept = others.join(bases, cond, "left_anti")
-    stripped = variants.withColumn(col, F.expr(f"substring({col}, 1, length({col}) - {len(suffix)})"))
-    return kept.unionByName(stripped)
+    if exact:
+        lost = bases.select(F.col("_base").alias("_name"))
+    else:
+        keyed = bases.withColumn("_key", F.substring("_base", 1, GRAM))
+        name = F.col("_name")
+        starts = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
+        grams = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(
+            F.sequence(F.lit(0), F.lit(GRAM)), lambda n: F.substring(name, i, n)))))
+        names = others.select(F.col(col).alias("_name")).where(name.isNotNull()).distinct()
+        lost = names.select("_name", F.explode(grams).alias("_key")).join(keyed, "_key")
+        lost = lost.where(F.col("_name").contains(F.col("_base"))).select("_name").distinct()
+    kept = others.join(lost, F.col(col) == F.col("_name"), "left_anti")
+    return kept.unionByName(variants.withColumn(col, base))
+
+
+#: Characters of a base name by which names that may contain it are found.
+GRAM = 4

@@ -17,7 +17,7 @@ Design notes for scale:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -275,3 +275,17 @@ def stratified_split(df: DataFrame, label: str = "label", test_fraction: float |
 def random_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
     """N rows in md5 order (a top-k, not a full sort)."""
     return df.orderBy(hash_order(seed, id_col), id_col).limit(n)
+
+
+def create_scored_subsets(pool: DataFrame, score: Callable[[DataFrame], DataFrame], **options) -> tuple[DataFrame, DataFrame]:
+    """D6 with a score: (members, scores).
+
+    ``score`` takes the members of all subsamples and returns (subsample, vs, ...), one row per subsample, for instance
+    :func:`varietas.operators.diversity.vendi_features`; scores are normalised by the largest (V5).
+    ``options`` are those of :func:`create_subsets`.
+    """
+    from varietas.operators.diversity import score_table
+
+    members, _ = create_subsets(pool, **options)
+    members = cut_lineage(members)     # the score and the caller read it
+    return members, score_table(score(members))

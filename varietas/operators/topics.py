@@ -13,6 +13,9 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from varietas.operators.diversity import gram_partials
 from varietas.session import cut_lineage
 
+#: Copies of a topic's row over which documents are dealt, and topic words up to which they are broadcast.
+SALTS, BROADCAST_WORDS = 8, 100_000
+
 
 def term_counts(doc_tokens: DataFrame, doc_topic: DataFrame, topic: str = "topic_nr",
                 tokens: str = "tokens", ngram_max: int = 1, stop_words: DataFrame | None = None) -> DataFrame:
@@ -107,10 +110,10 @@ def reassign_outliers(doc_topic_weights: DataFrame, threshold: float = 0.05, top
     """An outlier (-1) takes its most likely topic when that weight >= threshold.
 
     ``doc_topic_weights``: (doc_id, topic_nr, candidate, weight) one row per
-    candidate topic.
+    candidate topic; of equal weights the smallest candidate counts.
     """
     best = doc_topic_weights.groupBy("doc_id", topic).agg(
-        F.max_by("candidate", "weight").alias("_best"), F.max("weight").alias("_w"))
+        F.min_by("candidate", F.struct(-F.col("weight"), "candidate")).alias("_best"), F.max("weight").alias("_w"))
     new = F.when((F.col(topic) == -1) & (F.col("_w") >= threshold), F.col("_best")).otherwise(F.col(topic))
     return best.select("doc_id", F.col(topic).alias(f"{topic}_orig"), new.alias(topic))
 
@@ -130,6 +133,33 @@ def label_topics(topic_term: DataFrame, labels: DataFrame | None = None, k: int
     return out.select(topic, F.when(F.col(topic) == -1, F.lit(None)).otherwise(F.col("topic")).alias("topic"))
 
 
+def representative_docs(doc_texts: DataFrame, doc_topic: DataFrame, topic_term: DataFrame, k: int = 3,
+                        topic: str = "topic_nr", id_col: str = "doc_id") -> DataFrame:
+    """(topic, rank, id, similarity), the ``k`` documents of each topic nearest to its c-TF-IDF row.
+
+    A document's vector has its term counts times the terms' idf, and similarity is the cosine with the topic's row of
+    ``topic_term`` (:func:`c_tf_idf`), to nine digits; ties go to the smallest id.  A document of a topic has only terms of its row, so one
+    sparse join on (topic, term) gives product and norm.  Topics' rows are ``SALTS`` times in the join, so that
+    a large topic's frequent term is not one task's; the top k is taken before the shuffle.
+    """
+    from varietas.functions.text import tokenize
+    rows = doc_texts.join(doc_topic.where(F.col(topic).isNotNull()).select(id_col, topic), id_col)
+    counts = (rows.select(id_col, topic, F.explode_outer(tokenize("text")).alias("term")).where(F.col("term").isNotNull())
+              .groupBy(id_col, topic, "term").agg(F.count("*").alias("n")))
+    # weight = tf / words * idf, and the topic's words do not change a cosine: idf ~ weight / tf
+    terms = topic_term.select(topic, "term", "weight", (F.col("weight") / F.col("tf")).alias("_idf"))
+    salted = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = counts.withColumn("_salt", F.pmod(F.hash(id_col), F.lit(SALTS))).join(salted, [topic, "term", "_salt"])
+    x = F.col("n") * F.col("_idf")
+    docs = met.groupBy(topic, id_col).agg(F.sum(x * F.col("weight")).alias("_dot"), F.sum(x * x).alias("_own"))
+    norms = topic_term.groupBy(topic).agg(F.sum(F.col("weight") * F.col("weight")).alias("_norm"))
+    cos = F.col("_dot") / F.sqrt(F.col("_own") * F.col("_norm"))
+    sim = docs.join(norms, topic).select(topic, id_col, F.round(F.when((F.col("_own") > 0) & (F.col("_norm") > 0), cos)
+                                                                .otherwise(0.0), 9).alias("similarity"))
+    order = Window.partitionBy(topic).orderBy(F.desc("similarity"), id_col)
+    return sim.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(topic, "rank", id_col, "similarity")
+
+
 # --------------------------------------------------------------------------- X8
 def window_cooccurrence(doc_tokens: DataFrame, relevant: DataFrame, window: int = 110,
                         tokens: str = "tokens") -> tuple[DataFrame, DataFrame]:
@@ -140,10 +170,11 @@ def window_cooccurrence(doc_tokens: DataFrame, relevant: DataFrame, window: int
     window; texts without any relevant word are skipped.  Each document's windows
     are counted in its own task with prefix sums; Spark adds the counts.
     """
-    rel = relevant.select("word", F.col("idx").cast("int").alias("idx"))
+    rel = cut_lineage(relevant.select("word", F.col("idx").cast("int").alias("idx")))
+    few = rel.count() <= BROADCAST_WORDS
     pos = doc_tokens.select("doc_id", F.size(tokens).alias("_len"), F.posexplode_outer(tokens).alias("_p", "word")) \
         .where(F.col("word").isNotNull())
-    hits = pos.join(F.broadcast(rel), "word")
+    hits = pos.join(F.broadcast(rel) if few else rel, "word")
     per_doc = hits.groupBy("doc_id", "_len").agg(F.collect_list(F.struct("_p", "idx")).alias("_hits"))
     schema = StructType([StructField("i", IntegerType()), StructField("j", IntegerType()),
                          StructField("c", LongType())])
@@ -183,6 +214,11 @@ def window_cooccurrence(doc_tokens: DataFrame, relevant: DataFrame, window: int
     return raw.where(F.col("i") >= 0), n_windows
 
 
+def mean_coherence(coherence: DataFrame, topic: str = "topic_nr") -> DataFrame:
+    """The arithmetic mean of the topics' coherence, and their number."""
+    return coherence.agg(F.avg("coherence").alias("coherence"), F.count("coherence").alias("n_topics"))
+
+
 def coherence_cv(doc_tokens: DataFrame, topic_words: DataFrame, window: int = 110,
                  topic: str = "topic_nr", eps: float = 1e-12) -> DataFrame:
     """c_v coherence per topic (Roeder et al. 2015).

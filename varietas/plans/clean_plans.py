@@ -3,6 +3,7 @@ set operators (P*, F*, J*, R*, W*, O*) and the page extraction (S9)."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varietas.functions import text as T
@@ -161,46 +162,56 @@ FROM documents GROUP BY source
 
 
 # --------------------------------------------------------------------------- R1, R3
-def _turns(spark, sf_dir) -> tuple:
-    """Conversations and their turn numbers (the columns of the wide table)."""
-    c = fx.table(spark, sf_dir, "conversations")
-    return c, sorted(r["turn"] for r in c.select("turn").where("turn IS NOT NULL").distinct().collect())
+#: Sentence columns of a wide table; a longer conversation has several wide rows (its parts).
+WIDE = 20
+
+
+def _wide(spark, sf_dir, *cells) -> DataFrame:
+    """Conversations as a wide table: (conv_id, part, a column per place and cell)."""
+    c = fx.table(spark, sf_dir, "conversations").where("turn IS NOT NULL").withColumn("score", F.length("text").cast("double"))
+    c = c.withColumn("part", F.floor(F.col("turn") / WIDE)).withColumn("place", F.pmod("turn", F.lit(WIDE)).cast("int"))
+    return c.groupBy("conv_id", "part").pivot("place", list(range(WIDE))).agg(*[F.first(x).alias(y) for x, y in cells])
+
+
+def _turn_of(idx: str = "idx"):
+    return (F.col("part") * WIDE + F.col(idx)).cast("int")
+
+
+def _with_part(wide: DataFrame) -> DataFrame:
+    return wide.withColumn("_row", F.struct("conv_id", "part"))
 
 
 def q_wide_to_long(spark, sf_dir):
-    """Conversations pivoted wide (a column per turn) and melted back, empty cells dropped."""
-    c, turns = _turns(spark, sf_dir)
-    wide = c.groupBy("conv_id").pivot("turn", turns).agg(F.first("text"))
-    wide = wide.select("conv_id", *[F.col(str(i)).alias(f"s{i}") for i in turns])
-    long = reshape.wide_to_long(wide, "conv_id", [f"s{i}" for i in turns])
-    at = F.element_at(F.array(*[F.lit(i) for i in turns]), F.col("idx") + 1).cast("int")
-    return long.select("conv_id", at.alias("idx"), F.md5("text").alias("text_md5"))
+    """Conversations as wide rows (a column per place) melted back, empty cells dropped."""
+    wide = _with_part(_wide(spark, sf_dir, ("text", "s"), ("score", "v")))
+    long = reshape.wide_to_long(wide, "_row", [f"{i}_s" for i in range(WIDE)]).select("_row.*", "idx", "text")
+    return long.select("conv_id", _turn_of().alias("idx"), F.md5("text").alias("text_md5"))
 
 
 SQL_WIDE_TO_LONG = """
 SELECT conv_id, CAST(turn AS INTEGER) AS idx, md5(text) AS text_md5 FROM conversations
-WHERE text IS NOT NULL AND length(text) > 0
+WHERE turn IS NOT NULL AND text IS NOT NULL AND length(text) > 0
 """
 
 
 def q_title_scores(spark, sf_dir):
-    """R1 -> A19 with the title's own score: wide annotation tables (score columns 0.., title score t)
-    melted and averaged per (conversation, sentence); the title is sentence -1."""
-    c, turns = _turns(spark, sf_dir)
-    c = c.withColumn("score", F.length("text").cast("double"))
-    wide = c.groupBy("conv_id").pivot("turn", turns).agg(F.first("text").alias("s"), F.first("score").alias("v"))
-    titles = c.groupBy("conv_id").agg(F.min_by("role", "turn").alias("doctitle"), F.max("score").alias("t"))
-    wide = wide.join(titles, "conv_id")
-    long = reshape.wide_to_long(wide, "conv_id", [f"{i}_s" for i in turns], [f"{i}_v" for i in turns],
-                                title_col="doctitle", title_score_col="t")
+    """R1 -> A19 with the title's own score: wide annotation tables (score columns, title score t)
+    melted and averaged per (conversation, sentence); the title is sentence -1, on a conversation's first wide row."""
+    wide = _wide(spark, sf_dir, ("text", "s"), ("score", "v"))
+    titles = fx.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.min_by("role", "turn").alias("doctitle"), F.max(F.length("text").cast("double")).alias("t"), F.floor(F.min("turn") / WIDE).alias("part"))
+    wide = _with_part(wide.join(titles, ["conv_id", "part"], "left"))
+    long = reshape.wide_to_long(wide, "_row", [f"{i}_s" for i in range(WIDE)], [f"{i}_v" for i in range(WIDE)],
+                                title_col="doctitle", title_score_col="t").where((F.col("idx") >= 0) | F.col("text").isNotNull())
+    long = long.select("_row.*", "idx", "score")
     both = long.unionByName(long.withColumn("score", F.col("score") + 1))      # two annotators
-    return both.groupBy("conv_id", "idx").agg(R6(F.avg("score")).alias("mean_score"))
+    at = F.when(F.col("idx") < 0, F.col("idx")).otherwise(_turn_of())
+    return both.groupBy("conv_id", at.alias("idx")).agg(R6(F.avg("score")).alias("mean_score"))
 
 
 SQL_TITLE_SCORES = """
-WITH s AS (SELECT conv_id, dense_rank() OVER (ORDER BY turn) - 1 AS idx, CAST(length(text) AS DOUBLE) AS v FROM conversations
-           WHERE turn IS NOT NULL AND text IS NOT NULL AND length(text) > 0)
-SELECT conv_id, CAST(idx AS INTEGER) AS idx, round(v + 0.5, 6) AS mean_score FROM s
+SELECT conv_id, CAST(turn AS INTEGER) AS idx, round(CAST(length(text) AS DOUBLE) + 0.5, 6) AS mean_score FROM conversations
+WHERE turn IS NOT NULL AND text IS NOT NULL AND length(text) > 0
 UNION ALL
 SELECT conv_id, -1 AS idx, round(max(CAST(length(text) AS DOUBLE)) + 0.5, 6) AS mean_score FROM conversations GROUP BY conv_id
 """

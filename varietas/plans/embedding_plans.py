@@ -166,7 +166,26 @@ SELECT size, round(1.0 / sum(power(g / n, 2)), 6) AS vs2, n FROM g GROUP BY size
 """
 
 
+def q_distance_square(spark, sf_dir):
+    """J10 + A6 + A7: moments and deciles of the full distance matrix, diagonal and both triangles."""
+    pts = fx.embedding(spark, sf_dir)
+    prof = distances.distance_summary(pts, metric="cosine", square=True).select("n_pairs", *[F.round(c, 6).alias(c) for c in ("mean", "std")])
+    q = distances.distance_quantiles(pts, _DECILES, metric="cosine", square=True)
+    return q.select("q", F.round("value", 6).alias("value")).crossJoin(F.broadcast(prof))
+
+
+SQL_DISTANCE_SQUARE = _SQL_PAIRS.replace("a.doc_id < b.doc_id", "true").replace(
+    "SELECT 1.0 - CASE", "SELECT CASE WHEN a.doc_id = b.doc_id AND a.nrm > 0 THEN 0.0 ELSE 1.0 END * (1.0 - CASE").replace(
+    "ELSE 0.0 END AS d\n", "ELSE 0.0 END) AS d\n") + """,
+prof AS (SELECT count(*) AS n_pairs, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std FROM pairs),
+q AS (SELECT unnest([""" + ", ".join(f"CAST({x} AS DOUBLE)" for x in _DECILES) + """]) AS q,
+      round(unnest(quantile_cont(d, [""" + ", ".join(str(x) for x in _DECILES) + """])), 6) AS value FROM pairs)
+SELECT q, value, n_pairs, mean, std FROM q CROSS JOIN prof
+"""
+
+
 QUERIES = {
+    "distance_square": q_distance_square,
     "topic_vendi2": q_topic_vendi2,
     "vector_vendi2_curve": q_vector_vendi2_curve,
     "distance_deciles": q_distance_deciles,
@@ -179,6 +198,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "distance_square": SQL_DISTANCE_SQUARE,
     "topic_vendi2": SQL_TOPIC_VENDI2,
     "vector_vendi2_curve": SQL_VECTOR_VENDI2_CURVE,
     "distance_deciles": SQL_DISTANCE_DECILES,

@@ -217,9 +217,8 @@ def q_source_vendi_whole(spark, sf_dir):
 def subsample_scores(spark, sf_dir, n_total: int = N, reps: int = 3) -> DataFrame:
     """D6 + V1 + V5: the full sweep of 36 source subsamples with scores."""
     pool = rated_pool(spark, sf_dir)
-    members, _ = sampling.create_subsets(pool, n_total=n_total, reps=reps, seed=SEED)
-    scores = diversity.vendi_features(members, ["subsample"])
-    return diversity.score_table(scores)
+    return sampling.create_scored_subsets(pool, lambda members: diversity.vendi_features(members, ["subsample"]),
+                                          n_total=n_total, reps=reps, seed=SEED)[1]
 
 
 def q_subsample_scores(spark, sf_dir):

@@ -73,17 +73,19 @@ SQL_CSV_ROUND_TRIP = "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents"
 
 # --------------------------------------------------------------------------- S4
 def q_keyed_folder(spark, sf_dir):
-    """One file per source and language, the keys only in the file names."""
+    """Files per source and language (a large pair has several), the keys only in the file names."""
     path, out = _folder(spark, "parts"), _folder(spark, "keyed")
     d = fx.table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source", "lang")
-    d.repartition("source", "lang").write.partitionBy("source", "lang").option("header", True).csv(path)
+    d.write.partitionBy("source", "lang").option("header", True).csv(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(hadoop(out))
     for st in fs.globStatus(hadoop(f"{path}/source=*/lang=*/part-*.csv")):
         p = st.getPath()
         source, lang = (x.getName().split("=", 1)[1] for x in (p.getParent().getParent(), p.getParent()))
-        fs.rename(p, hadoop(f"{out}/results_{source}_{lang}.csv"))
+        part = p.getName().split("-")[1]      # every task writes a pair once, so the part makes the name unique
+        if not fs.rename(p, hadoop(f"{out}/results_{source}_{lang}.{part}.csv")):
+            raise OSError(f"could not rename {p.toString()}")
     keyed = io.scan_folder_keyed(spark, out, "doc_id long, n_chars long", key_regex=r"^[a-z]+_([a-z0-9]+)_([a-z]+)\.",
                                  keys=("source", "lang"))
     return keyed.select("doc_id", "n_chars", "source", "lang")

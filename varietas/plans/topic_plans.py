@@ -124,6 +124,33 @@ def q_coherence_cv(spark, sf_dir):
     return c.select("topic_nr", R6("coherence").alias("coherence"))
 
 
+def q_coherence_mean(spark, sf_dir):
+    """Mean c_v coherence over the topics."""
+    tw = topics.top_words(topic_term(spark, sf_dir), k=10).select("topic_nr", F.col("term").alias("word"))
+    return topics.mean_coherence(topics.coherence_cv(fx.doc_tokens(spark, sf_dir), tw)).select(R6("coherence").alias("coherence"), "n_topics")
+
+
+def q_topic_representatives(spark, sf_dir):
+    """The three documents nearest to each topic's c-TF-IDF row."""
+    r = topics.representative_docs(fx.doc_texts(spark, sf_dir), fx.doc_topic(spark, sf_dir), topic_term(spark, sf_dir), k=3)
+    return r.select("topic_nr", "rank", "doc_id", R6("similarity").alias("similarity"))
+
+
+SQL_TOPIC_REPRESENTATIVES = "WITH " + _SQL_CTFIDF_CTE + r""",
+dt AS (SELECT e.label AS topic_nr, d.doc_id, unnest(regexp_extract_all(lower(d.text), '[\p{L}\p{N}_]{2,}')) AS term
+       FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id WHERE e.label IS NOT NULL),
+dc AS (SELECT topic_nr, doc_id, term, count(*) AS n FROM dt GROUP BY ALL),
+idf AS (SELECT pf.term, ln(aa.a / pf.f + 1.0) AS idf FROM pf CROSS JOIN aa),
+nrm AS (SELECT topic_nr, sum(weight * weight) AS s FROM w GROUP BY 1),
+sim AS (SELECT dc.topic_nr, dc.doc_id, round(CASE WHEN sum(n * idf * n * idf) > 0 AND max(nrm.s) > 0
+          THEN sum(n * idf * weight) / (sqrt(sum(n * idf * n * idf)) * sqrt(max(nrm.s))) ELSE 0.0 END, 9) AS similarity
+        FROM dc JOIN idf USING (term) JOIN w ON w.topic_nr = dc.topic_nr AND w.term = dc.term JOIN nrm ON nrm.topic_nr = dc.topic_nr
+        GROUP BY 1, 2)
+SELECT topic_nr, CAST(row_number() OVER (PARTITION BY topic_nr ORDER BY similarity DESC, doc_id) AS INTEGER) AS rank, doc_id,
+       round(similarity, 6) AS similarity FROM sim QUALIFY rank <= 3
+"""
+
+
 def q_kmeans_topics(spark, sf_dir):
     """X5 (re-aimed): k-means topics with small clusters as outliers."""
     t = topics.assign_topics(fx.embedding(spark, sf_dir), k=10, min_size=25)
@@ -219,6 +246,8 @@ SELECT 'without_outliers', count_if(topic_i = topic_j)::BIGINT,
 
 
 QUERIES = {
+    "coherence_mean": q_coherence_mean,
+    "topic_representatives": q_topic_representatives,
     "topic_kernel_vendi2": q_topic_kernel_vendi2,
     "top_bigrams": q_top_bigrams,
     "reassigned_topics": q_reassigned_topics,
@@ -234,6 +263,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "topic_representatives": SQL_TOPIC_REPRESENTATIVES,
     "topic_kernel_vendi2": SQL_TOPIC_KERNEL_VENDI2,
     "top_bigrams": SQL_TOP_BIGRAMS,
     "c_tf_idf": SQL_C_TF_IDF,
@@ -270,4 +300,9 @@ seg AS (SELECT np.topic_nr, np.wi, sum(np.npmi * sv.v) / (sqrt(sum(np.npmi * np.
 SELECT topic_nr, round(avg(c), 6) AS coherence FROM seg GROUP BY topic_nr
 """
 
+SQL_COHERENCE_MEAN = "SELECT round(avg(c), 6) AS coherence, count(*) AS n_topics FROM (" + SQL_COHERENCE_CV.replace(
+    "round(avg(c), 6) AS coherence", "avg(c) AS c") + ")"
+ORACLE["coherence_mean"] = SQL_COHERENCE_MEAN
+
+
 ORACLE["coherence_cv"] = SQL_COHERENCE_CV
