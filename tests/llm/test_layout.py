@@ -190,3 +190,32 @@ def test_mix_edge_cases(spark):
     got = queries_layout.mixed(spark.createDataFrame(rows, schema)).collect()
     assert sorted(r["size"] for r in got) == [0, 0, 1, 3, 3] and all(0 <= r["copies"] <= 2 for r in got)
     assert queries_layout.mixed(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_every_group_that_fits_a_shard_is_a_point_of_the_tree(spark, monkeypatch):
+    """No byte skips the tree, and shards are near equal although most bytes are in heavy groups."""
+    seen, build = [], kdtree._build
+    monkeypatch.setattr(kdtree, "_build", lambda points, *a: (seen.append(points.agg(F.sum("w")).first()[0] or 0), build(points, *a))[1])
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(999)}" for _ in range(rng.choice([5, 30, 300, 900]))) for _ in range(160)]
+    rows = [(i, t, rng.choice(["en", "de"]), f"s{rng.randrange(4)}") for i, t in enumerate(texts)] + [(200 + i, texts[3], "en", "s0") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = queries_layout.sharded(docs, 8).collect()
+    size, where = {}, {}
+    for r in got:
+        size[r["shard"]] = size.get(r["shard"], 0) + r["size"]
+        where.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
+    assert seen[0] == sum(size.values()) == sum(len(t or "") + 8 for _, t, _, _ in rows)
+    assert all(len(v) == 1 for v in where.values())
+    assert len(size) == 8 and max(size.values()) / min(size.values()) < 1.05
+
+
+def test_heavy_groups_leave_only_leaves_that_they_overfill():
+    weight, leaf = np.array([6.0, 5.0, 4.0, 3.0, 2.0]), np.array([0, 0, 1, 2, 2])
+    assert list(kdtree._even_out(weight, leaf, np.zeros(3), 20.0)) == [0, 0, 1, 2, 2]
+    got = kdtree._even_out(weight, leaf, np.zeros(3), 7.0)
+    assert np.bincount(got, weight).max() <= 7.0
+    rng = np.random.default_rng(1)
+    w = rng.uniform(1, 30, 400)
+    load = np.bincount(kdtree._even_out(w, np.repeat(0, 400), np.zeros(24), w.sum() / 24), w, 24)
+    assert load.max() / (w.sum() / 24) < 1.02

@@ -56,19 +56,30 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> Da
     partition numbers its own rows and adds the counts of the partitions
     before it.  The offsets have at most (partitions + groups) rows.
     """
-    pid = fresh(df, "_pid")
+    pid, n, off, p, rn = (fresh(df, x) for x in ("_pid", "_count", "_before", "_part", "_nth"))
+    own = [fresh(df, f"_by{i}") for i in range(len(group))]
     placed = cut(df.repartitionByRange(*[F.col(c) for c in group + order])
                  .sortWithinPartitions(*group, *order).withColumn(pid, F.spark_partition_id()))
-    counts = placed.groupBy(*group, pid).agg(F.count(F.lit(1)).alias("_n"))
+    counts = placed.groupBy(*group, pid).agg(F.count(F.lit(1)).alias(n))
     before = Window.partitionBy(*group).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    offs = offs.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col(pid).alias("_p"), "_off")
-    same = F.col(pid) == F.col("_p")
-    for i, c in enumerate(group):
-        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    offs = counts.withColumn(off, F.coalesce(F.sum(n).over(before), F.lit(0)))
+    offs = offs.select(*[F.col(c).alias(o) for c, o in zip(group, own, strict=True)], F.col(pid).alias(p), off)
+    same = F.col(pid) == F.col(p)
+    for c, o in zip(group, own, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(o))
     inner = Window.partitionBy(*group, pid).orderBy(*order)
-    return (placed.withColumn("_rn", F.row_number().over(inner).cast("long"))
+    return (placed.withColumn(rn, F.row_number().over(inner).cast("long"))
             .join(offs, same, "left")
-            .withColumn(name, F.col("_rn") - 1 + F.col("_off"))
-            .drop("_rn", "_off", "_p", pid, *[f"_g{i}" for i in range(len(group))]))
+            .withColumn(name, F.col(rn) - 1 + F.col(off))
+            .drop(rn, off, p, pid, *own))
 
+
+def column(name: str) -> Column:
+    """A top-level column by its exact name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, but: tuple[str, ...] = ()) -> Column:
+    """The columns of ``df`` (but some) as one struct, so that no helper column can meet a name of theirs."""
+    rest = [column(c).alias(c) for c in df.columns if c not in but]
+    return (F.struct(*rest) if rest else F.struct(F.lit(True).alias("none"))).alias("row")

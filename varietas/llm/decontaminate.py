@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varietas.llm.common import ascii_lower, cut, fresh
+from varietas.llm.common import ascii_lower, column, cut, fresh
 
 #: Words of the contract: runs of ASCII letters and digits and of all characters beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -122,16 +122,18 @@ def without_spans(text: Column, spans: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = 10, text_col: str = "text",
                   id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """``docs`` without the rows that are hit (``remove="documents"``) or without the hit words (``"spans"``)."""
+    """``docs`` without the rows that are hit (``remove="documents"``) or without the hit words (``"spans"``).
+
+    Cases: those of :func:`hits`; null and word-less texts stay as they are; repeated rows go or stay together; all columns are kept.
+    """
+    if remove not in ("documents", "spans"):
+        raise ValueError("remove must be 'documents' or 'spans'")
+    hid, hth, spans, th = (fresh(docs, x) for x in ("_hit_id", "_hit_hash", "_hit_spans", "_text_hash"))
     hit = hits(docs, benchmark, n, text_col, id_col, item_text, item_id).where("n_hit > 0")
-    hit = hit.select(F.col("id").alias("_hit_id"), F.col("text_hash").alias("_hit_th"),
-                     F.col("spans").alias("_hit_spans")).distinct()
-    th = fresh(docs, "_text_hash")
+    hit = hit.select(F.col("id").alias(hid), F.col("text_hash").alias(hth), F.col("spans").alias(spans)).distinct()
     rows = docs.withColumn(th, F.xxhash64(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("_hit_id")) & (F.col(th) == F.col("_hit_th"))
+    same = F.col(id_col).eqNullSafe(F.col(hid)) & (F.col(th) == F.col(hth))
     if remove == "documents":
-        return rows.join(hit, same, "left_anti").select(*docs.columns)
-    if remove != "spans":
-        raise ValueError("remove must be 'documents' or 'spans'")
-    new = F.when(F.col("_hit_spans").isNotNull(), without_spans(F.col(text_col), F.col("_hit_spans"))).otherwise(F.col(text_col))
-    return rows.join(hit, same, "left").select(*[(new if c == text_col else F.col(c)).alias(c) for c in docs.columns])
+        return rows.join(hit, same, "left_anti").select(*[column(c) for c in docs.columns])
+    new = F.when(F.col(spans).isNotNull(), without_spans(F.col(text_col), F.col(spans))).otherwise(F.col(text_col))
+    return rows.join(hit, same, "left").select(*[(new if c == text_col else column(c)).alias(c) for c in docs.columns])

@@ -10,11 +10,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from varietas.llm.common import cut, fresh, numbered
+from varietas.llm.common import column, cut, fresh, numbered, packed
 
 _HASH_BITS = 38          # low bits of an order key: hash of the group, so that ties can be cut
 _COORD = (1 << 24) - 1   # a coordinate is an integer of 24 bits
@@ -132,6 +132,42 @@ def _build(light: DataFrame, room: list[float], n_dims: int, fine: float) -> Nod
                     del todo[k]
 
 
+def _even_out(weight: np.ndarray, leaf: np.ndarray, load: np.ndarray, goal: float) -> np.ndarray:
+    """Leaves of the heavy groups, moved from where the tree put them as far as leaves above ``goal`` make it needed.
+
+    While a leaf is above the goal, the move of one of its groups to another leaf, or the swap of two, that takes most off both
+    leaves' excess is made; of equal ones that to the nearest leaf in tree order.  At most a few thousand groups.
+    """
+    leaf, load = leaf.copy(), load + np.bincount(leaf, weight, len(load))
+    over = lambda x: np.maximum(x - goal, 0.0)
+    stuck = np.zeros(len(load), bool)
+    while True:
+        full = np.where(stuck, -np.inf, load)
+        k = int(full.argmax())
+        if full[k] <= goal * (1 + 1e-9):
+            return leaf
+        own, rest = np.flatnonzero(leaf == k), np.flatnonzero(leaf != k)
+        # partners: every other leaf with nothing in exchange, and every group of another leaf
+        to = np.r_[np.arange(len(load)), leaf[rest]]
+        back = np.r_[np.zeros(len(load)), weight[rest]]
+        net = weight[own][:, None] - back[None, :]
+        gain = over(load[k]) + over(load[to])[None, :] - over(load[k] - net) - over(load[to][None, :] + net)
+        gain = np.where((to == k)[None, :] | (net <= 0), -np.inf, gain)
+        best = gain.max() if gain.size else -np.inf
+        if best <= goal * 1e-6:
+            stuck[k] = True
+            continue
+        i, j = np.nonzero(gain >= best * (1 - 1e-12))
+        at = np.lexsort((net[i, j], np.abs(to[j] - k)))[0]
+        i, j = int(i[at]), int(j[at])
+        load[k] -= net[i, j]
+        load[to[j]] += net[i, j]
+        leaf[own[i]] = to[j]
+        if j >= len(load):
+            leaf[rest[j - len(load)]] = k
+        stuck[:] = False
+
+
 def shard(docs: DataFrame, n_shards: int, size: Column, group: Column, coords: dict[str, Column],
           order: list[str], whole_share: float = 0.02) -> DataFrame:
     """Add ``shard`` (0 .. n_shards - 1) and ``slot`` (gapless from 0 within the shard) to ``docs``.
@@ -141,62 +177,82 @@ def shard(docs: DataFrame, n_shards: int, size: Column, group: Column, coords: d
     as 24-bit integers (:func:`unit_hash`, :func:`log_coord`).  A group has the
     smallest coordinates of its rows.
 
-    Groups above ``whole_share`` of a shard (so at most ``n_shards /
-    whole_share`` of them) are placed first, largest first, on the emptiest
-    shard; a group larger than half a shard beside its fellows is dealt in
-    pieces by row hash only if it exceeds a whole shard.  The tree then splits the
-    rest so that each shard's placed and split bytes together reach the target.
-    Only tree nodes, histogram bins and those bounded groups reach the driver.
+    Every group that fits a shard is a weighted point of the tree, whatever its size.  A cut cannot halve a
+    group, so heavy ones (above ``whole_share`` of a shard: at most ``n_shards / whole_share`` of them) take the leaf that the tree
+    gives them, are moved on only out of leaves that they overfill (:func:`_even_out`), and the tree is cut
+    anew for all others, at medians weighted so that each leaf's heavy and other bytes together reach the target.  Only a group
+    larger than a shard is no point: it is dealt in pieces by row hash.  Tree nodes, histogram bins and
+    those bounded groups reach the driver.
 
     Cases: an empty table gives an empty result; null sizes count as 0; null
     groups and coordinates are values like others; repeated rows share a
-    shard and get different slots; columns of ``docs`` are kept.
+    shard and get different slots; columns of ``docs`` are kept, and the added ones get an underscore if it has their names.
+
+    Scale: a group of over a thousandth of all rows meets its leaf by a broadcast (below a thousand groups).
     """
-    g, s, p = fresh(docs, "_group"), fresh(docs, "_size"), fresh(docs, "_piece")
-    names = {c: fresh(docs, f"_coord_{i}") for i, c in enumerate(coords)}
-    rows = docs.select("*", group.alias(g), F.coalesce(size, F.lit(0)).cast("long").alias(s),
-                       *[coords[c].alias(names[c]) for c in coords])
-    rows = cut(rows)
-    n_dims = len(coords)
-    points = rows.groupBy(F.col(g).alias("g")).agg(
-        F.sum(s).alias("w"), *[F.min(names[c]).alias(f"c{i}") for i, c in enumerate(coords)])
-    points = cut(points.select("g", "w", *[_key(F.col(f"c{i}")).alias(f"k{i}") for i in range(n_dims)]))
-    total = points.agg(F.sum("w")).first()[0]
-    spark = docs.sparkSession
+    spark, n_dims = docs.sparkSession, len(coords)
+    names = [fresh(docs, "shard"), fresh(docs, "slot")]
+    rows = cut(docs.select(packed(docs), group.alias("g"), F.coalesce(size, F.lit(0)).cast("long").alias("s"),
+                           *[column(c).alias(f"o{i}") for i, c in enumerate(order)],
+                           *[c.alias(f"c{i}") for i, c in enumerate(coords.values())]))
+    ordered = [f"o{i}" for i in range(len(order))]
+
+    def slotted(out: DataFrame) -> DataFrame:
+        return numbered(out, ["shard"], ordered, "slot").select(
+            *[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("shard").alias(names[0]), F.col("slot").alias(names[1]))
+    points = rows.groupBy("g").agg(F.sum("s").alias("w"), F.count(F.lit(1)).alias("n"), *[F.min(f"c{i}").alias(f"c{i}") for i in range(n_dims)])
+    points = cut(points.select("g", "w", "n", *[_key(F.col(f"c{i}")).alias(f"k{i}") for i in range(n_dims)]))
+    seen = points.agg(F.sum("w").alias("w"), F.sum("n").alias("n")).first()
+    total = seen["w"]
     if not total:
-        out = rows.withColumn("shard", F.lit(0))
-        return numbered(out, ["shard"], order, "slot").drop(g, s, *names.values())
+        return slotted(rows.withColumn("shard", F.lit(0)))
     goal = total / n_shards
-    heavy = [(r["g"], r["w"]) for r in points.where(F.col("w") > whole_share * goal).select("g", "w").collect()]
+    row_hash = F.xxhash64(*ordered)
     # groups above a shard are dealt in pieces of at most a quarter of it
-    pieces = {x: math.ceil(4 * w / goal) for x, w in heavy if w > goal}
-    units = [(x, 0, w) for x, w in heavy if x not in pieces]
-    row_hash = F.xxhash64(*[F.col(c) for c in order])
+    pieces = {r["g"]: math.ceil(4 * r["w"] / goal) for r in points.where(F.col("w") > goal).select("g", "w").collect()}   # below n_shards
+    load, place = np.zeros(n_shards), []
     if pieces:
-        cuts = spark.createDataFrame([(x, k) for x, k in pieces.items()], "pg long, k long")
-        dealt = (rows.join(F.broadcast(cuts), F.col(g).eqNullSafe(F.col("pg")))
-                 .groupBy("pg", F.pmod(row_hash, F.col("k")).alias("piece")).agg(F.sum(s).alias("w")).collect())
-        units += [(r["pg"], r["piece"], r["w"]) for r in dealt]
-    load, place = [0.0] * n_shards, []
-    for x, piece, w in sorted(units, key=lambda u: (-u[2], u[0] is None, u[0] or 0, u[1])):
-        k = min(range(n_shards), key=lambda i: (load[i], i))
-        load[k] += w
-        place.append((x, piece, k))
-    rest = sum(max(0.0, goal - x) for x in load)
-    light_w = total - sum(w for _, w in heavy)
-    room = [max(0.0, goal - x) * (light_w / rest if rest else 0.0) for x in load]
-    light = points.where(F.col("w") <= whole_share * goal)
-    tree = _build(light, room, n_dims, 0.002 * goal)
-    where = points.select("g", _node_of(tree, lambda n: F.lit(n.leaves[0])).alias("tree_shard"))
-    same = F.col(g).eqNullSafe(F.col("g"))
-    out = rows.join(where, same, "left").drop("g", *names.values())
+        cuts = spark.createDataFrame(list(pieces.items()), "pg long, k long")
+        dealt = (rows.join(F.broadcast(cuts), F.col("g").eqNullSafe(F.col("pg")))
+                 .groupBy("pg", F.pmod(row_hash, F.col("k")).alias("piece")).agg(F.sum("s").alias("w")).collect())
+        for r in sorted(dealt, key=lambda r: (-r["w"], r["pg"] is None, r["pg"] or 0, r["piece"])):
+            k = int(load.argmin())
+            load[k] += r["w"]
+            place.append((r["pg"], r["piece"], k))
+    points = points.where(F.col("w") <= goal)
+    tree, moved = tree_leaves(points, load, goal, n_dims, whole_share)
+    leaf = _node_of(tree, lambda n: F.lit(n.leaves[0]))
+    for_heavy = spark.createDataFrame(moved, "hg long, heavy int")            # at most n_shards / whole_share rows
+    where = points.join(F.broadcast(for_heavy), F.col("g").eqNullSafe(F.col("hg")), "left")
+    where = where.select(F.col("g").alias("pg"), "n", F.coalesce("heavy", leaf).cast("int").alias("leaf"))
+    often = F.col("n") * 1000 > seen["n"]
+    hot = where.where(often).select(F.col("pg").alias("bg"), F.col("leaf").alias("hot_leaf"))
+    met = rows.join(F.broadcast(hot), F.col("g").eqNullSafe(F.col("bg")), "left")
+    rare = met.where(F.col("hot_leaf").isNull()).join(where.where(~often), F.col("g").eqNullSafe(F.col("pg")), "left")
     # at most shards / whole_share placed groups and 4 pieces a shard: a bounded table
-    placed = spark.createDataFrame(place, T.StructType.fromDDL("hg long, hp long, heavy_shard int"))
+    placed = spark.createDataFrame(place, "qg long, hp long, piece_shard int")
     k_of = F.lit(1).cast("long")
     for x, k in pieces.items():
-        k_of = F.when(F.col(g).eqNullSafe(F.lit(x)), F.lit(k).cast("long")).otherwise(k_of)
-    out = out.withColumn(p, F.pmod(row_hash, k_of))
-    out = out.join(F.broadcast(placed), F.col(g).eqNullSafe(F.col("hg")) & (F.col(p) == F.col("hp")), "left")
-    out = out.withColumn("shard", F.coalesce("heavy_shard", "tree_shard").cast("int"))
-    out = out.drop("hg", "hp", "heavy_shard", "tree_shard", g, s, p)
-    return numbered(out, ["shard"], order, "slot")
+        k_of = F.when(F.col("g").eqNullSafe(F.lit(x)), F.lit(k).cast("long")).otherwise(k_of)
+    keep = ["row", "g", *ordered]
+    out = (met.where(F.col("hot_leaf").isNotNull()).select(*keep, F.col("hot_leaf").alias("leaf"))
+           .unionByName(rare.select(*keep, "leaf")).withColumn("p", F.pmod(row_hash, k_of)))
+    out = out.join(F.broadcast(placed), F.col("g").eqNullSafe(F.col("qg")) & (F.col("p") == F.col("hp")), "left")
+    return slotted(out.select("row", *ordered, F.coalesce("piece_shard", "leaf").cast("int").alias("shard")))
+
+
+def tree_leaves(points: DataFrame, load: np.ndarray, goal: float, n_dims: int, whole_share: float) -> tuple[Node, list]:
+    """(tree, heavy): the tree whose leaves are the shards of the points ``(g, w, k0, ..)``, and (g, leaf) of those
+    points whose leaf in an earlier tree stands instead, since a cut beside them would miss its target."""
+    n = len(load)
+    tree = _build(points, [max(0.0, goal - x) for x in load], n_dims, 0.002 * goal)
+    big = points.where(F.col("w") > whole_share * goal)
+    heavy = sorted(big.select("g", "w", _node_of(tree, lambda x: F.lit(x.leaves[0])).alias("leaf")).collect(),
+                   key=lambda r: (r["g"] is None, r["g"] or 0))
+    if not heavy:
+        return tree, []
+    weight, leaf = np.array([r["w"] for r in heavy], float), np.array([r["leaf"] for r in heavy], np.int64)
+    leaf = _even_out(weight, leaf, load, goal)
+    room = np.maximum(goal - load - np.bincount(leaf, weight, n), 0.0)
+    tree = _build(points.where(F.col("w") <= whole_share * goal), room.tolist(), n_dims, 0.002 * goal)
+    return tree, [(r["g"], int(x)) for r, x in zip(heavy, leaf, strict=True)]

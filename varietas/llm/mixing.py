@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varietas.llm.common import cut, numbered
+from varietas.llm.common import column, cut, numbered, packed
 
 _EPS = 1e-9
 
@@ -187,3 +187,20 @@ def mix(docs: DataFrame, size: Column, source_col: str = "source", id_col: str =
     return (with_t.join(taken, F.col("row") == F.col("_r"))
             .select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
                     (F.col("whole") + F.col("taken")).alias("copies")))
+
+
+def take(docs: DataFrame, size: Column, text_hash: Column, source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` as often as :func:`mix` takes them, all columns kept.
+
+    Rows equal in id, source and text hash are interchangeable: the first of them stands for all, as often as they are taken
+    together.  The other cases are those of :func:`mix`.
+    """
+    rows = docs.select(packed(docs), size.alias("size"), text_hash.alias("hash"), column(source_col).cast("string").alias("source"),
+                       F.struct(column(id_col).alias("i"), text_hash.alias("h"), column(source_col).alias("s")).cast("string").alias("key"))
+    got = mix(rows, F.col("size"), id_col="key", text_hash=F.col("hash"), **options)
+    taken = cut(got.groupBy(F.col("key").alias("of")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 0"))
+    met = rows.join(taken, F.col("key") == F.col("of"))
+    if taken.where("n > 1").limit(1).count():
+        met = met.dropDuplicates(["key"])
+    out = met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varietas.llm.common import cut, fresh
+from varietas.llm.common import column, cut, fresh
 
 _SYMBOLS = b"#*$%&|<>"
 _CONTINUATION = bytes(range(0x80, 0xC0))   # UTF-8 bytes that start no code point
@@ -166,13 +166,13 @@ def apply_rules(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """
     verdict = judge(docs, text_col, id_col, host_col, limits).where("kept")
     # equal (id, text) rows of one host have one verdict, of several hosts one each: a row is kept if any is
-    verdict = verdict.groupBy(F.col("id").alias("_vid"), F.col("text_hash").alias("_vhash")).agg(
-        F.flatten(F.collect_set("removed")).alias("_removed"))
-    th = fresh(docs, "_text_hash")
+    vid, vhash, removed, th = (fresh(docs, x) for x in ("_verdict_id", "_verdict_hash", "_removed", "_text_hash"))
+    verdict = verdict.groupBy(F.col("id").alias(vid), F.col("text_hash").alias(vhash)).agg(
+        F.flatten(F.collect_set("removed")).alias(removed))
     rows = docs.withColumn(th, F.xxhash64(text_col))
-    met = rows.join(verdict, F.col(id_col).eqNullSafe(F.col("_vid")) & (F.col(th) == F.col("_vhash")))
+    met = rows.join(verdict, F.col(id_col).eqNullSafe(F.col(vid)) & (F.col(th) == F.col(vhash)))
     clean = F.pandas_udf(_clean_texts, "binary")
-    some = F.size("_removed") > 0     # only these texts travel to Python
-    new = F.when(some, clean(F.when(some, F.col(text_col).cast("binary")), F.col("_removed")).cast("string")
+    some = F.size(removed) > 0     # only these texts travel to Python
+    new = F.when(some, clean(F.when(some, F.col(text_col).cast("binary")), F.col(removed)).cast("string")
                  ).otherwise(F.col(text_col))
-    return met.select(*[(new if c == text_col else F.col(c)).alias(c) for c in docs.columns])
+    return met.select(*[(new if c == text_col else column(c)).alias(c) for c in docs.columns])

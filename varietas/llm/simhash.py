@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varietas.llm.common import cut, fresh
+from varietas.llm.common import column, cut, fresh
 from varietas.llm.components import components
 
 #: Bits of the three segments, from the lowest bit up; each fits a Golay word of 23.
@@ -268,14 +268,14 @@ def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     of them, if they are equal).  Rows without an id go if their component has a row
     with one, else they stay.
     """
+    kid, kth, kn, th = (fresh(docs, x) for x in ("_kept_id", "_kept_hash", "_kept_n", "_text_hash"))
     comp = cut(near_duplicates(docs, text_col, id_col, shingle, max_distance)
-               .where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id"), F.col("text_hash").alias("_th")))
-    stay = cut(comp.where("_id IS NOT NULL").groupBy("_id").agg(F.min("_th").alias("_th"), F.count("_th").alias("_n"))
-               .unionByName(comp.where("_id IS NULL").distinct().withColumn("_n", F.lit(1).cast("long"))))
-    th = fresh(docs, "_text_hash")
+               .where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(kid), F.col("text_hash").alias(kth)))
+    stay = cut(comp.where(F.col(kid).isNotNull()).groupBy(kid).agg(F.min(kth).alias(kth), F.count(kth).alias(kn))
+               .unionByName(comp.where(F.col(kid).isNull()).distinct().withColumn(kn, F.lit(1).cast("long"))))
     rows = docs.withColumn(th, F.xxhash64(text_col))
-    kept = rows.join(stay.drop("_n"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(th) == F.col("_th")), "left_semi")
-    if stay.where("_n > 1").limit(1).count():   # ids are not unique: rows may be equal in id and text
+    kept = rows.join(stay.drop(kn), F.col(id_col).eqNullSafe(F.col(kid)) & (F.col(th) == F.col(kth)), "left_semi")
+    if stay.where(F.col(kn) > 1).limit(1).count():   # ids are not unique: rows may be equal in id and text
         once = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
         kept = once.unionByName(kept.where(F.col(id_col).isNull()))
-    return kept.select(*docs.columns)
+    return kept.select(*[column(c) for c in docs.columns])
