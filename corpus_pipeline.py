@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of ``documents``.
+
+In every stage a null text is empty, a null id or source is a value like others, repeated rows are judged alike, an empty table
+gives an empty result, further columns of whatever name are kept (but by the last stage); the operators' docstrings say more.
 """
 
 from __future__ import annotations
@@ -9,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varietas.llm import decontaminate, quality_rules, simhash
-from varietas.llm.common import cut, fresh, read
-from varietas.llm.queries_layout import mixed, sharded
+from varietas.llm import decontaminate, mixing, quality_rules, simhash
+from varietas.llm.common import column, cut, n_words, read
+from varietas.llm.queries_layout import sharded
 from varietas.session import prepare
 
 
@@ -19,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: rejected documents go, lines that are frequent on their host go from the others."""
     prepare(spark)
     kept = quality_rules.apply_rules(docs)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*[column(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,18 +39,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mix of the sources to weights 3, 1, 2: every document as often as the mix takes it (not at all, once or twice)."""
     prepare(spark)
-    th = fresh(docs, "_text_hash")
-    docs_th = docs.withColumn(th, F.xxhash64("text"))
-    # equal rows are interchangeable, so their copies are summed and dealt out evenly
-    taken = mixed(docs_th.withColumn("_mix_id", F.struct("doc_id", th, "source").cast("string")).select(
-        F.col("_mix_id").alias("doc_id"), "text", "source")).groupBy("doc_id").agg(
-        F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    taken = cut(taken.withColumnRenamed("doc_id", "_mix_key").where("_copies > 0"))
-    rows = docs_th.withColumn("_mix_id", F.struct("doc_id", th, "source").cast("string"))
-    met = rows.join(taken, F.col("_mix_id") == F.col("_mix_key"))
-    if taken.where("_rows > 1").limit(1).count():
-        met = met.dropDuplicates(["_mix_id"])
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    return mixing.take(docs, n_words(F.col("text")), F.xxhash64("text"))
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
