@@ -50,7 +50,9 @@ def get_spark(master: str | None = None, app: str = "varietas",
     return spark
 
 
-_SHIPPED: set[int] = set()
+#: Rows here carry whole texts and arrays of their words, so an Arrow batch has a tenth of Spark's default number of rows
+#: (unless the deployment says otherwise): two tasks' batches must fit beside each other.
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -64,20 +66,22 @@ def ship_package(spark: SparkSession) -> None:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - Spark Connect: ship with the client's artifacts instead
         return
-    if id(sc) in _SHIPPED:
+    if getattr(sc, "_varietas_shipped", False):      # a mark on the context itself: a later one has none
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     out = tempfile.mkdtemp(prefix="varietas-pkg-")
     archive = shutil.make_archive(os.path.join(out, "varietas"), "zip", root_dir=os.path.dirname(pkg),
                                   base_dir=os.path.basename(pkg))
     sc.addPyFile(archive)
-    _SHIPPED.add(id(sc))
+    sc._varietas_shipped = True
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Ship the package to the workers and make sure a checkpoint folder is set."""
     ship_package(spark)
     ensure_checkpoint_dir(spark)
+    if spark.conf.get(_ARROW_ROWS, None) is None:
+        spark.conf.set(_ARROW_ROWS, "1000")
     return spark
 
 

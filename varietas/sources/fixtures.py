@@ -141,11 +141,13 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """gazetteer(surface, label): every word of five or more characters, and every pair of adjacent words of such
     length that stands with two capitals somewhere (multi-word names); labels by md5."""
     labels = F.array(*[F.lit(x) for x in ENTITY_LABELS])
-    words = tokenize("text", lower=False)
-    pairs = table(spark, sf_dir, "documents").select("doc_id", words.alias("ws")).select(F.expr(
-        "explode_outer(transform(slice(ws, 2, greatest(size(ws) - 1, 0)), (t, i) -> struct(ws[i] AS a, t AS b)))")
-        .alias("p")).select("p.a", "p.b").where((F.length("a") >= 5) & (F.length("b") >= 5))
-    pairs = pairs.where(F.col("a").rlike(r"^\p{Lu}") & F.col("b").rlike(r"^\p{Lu}"))
+    run = r"[\p{L}\p{N}_]"
+    # single characters are no words and do not part two; then only capitals are looked at
+    text = F.regexp_replace("text", rf"(?<!{run}){run}(?!{run})", " ")
+    pair = F.lit(rf"(?<!{run})(\p{{Lu}}{run}{{4,}})(?=[^\p{{L}}\p{{N}}_]+(\p{{Lu}}{run}{{4,}}))")
+    pairs = table(spark, sf_dir, "documents").select(text.alias("t")).select(F.explode_outer(F.arrays_zip(
+        F.regexp_extract_all("t", pair, F.lit(1)).alias("a"), F.regexp_extract_all("t", pair, F.lit(2)).alias("b"))).alias("p"))
+    pairs = pairs.select("p.a", "p.b").where(F.col("a").isNotNull())
     every = vocabulary(spark, sf_dir, min_len=5).unionByName(pairs.select(F.lower(F.concat_ws(" ", "a", "b")).alias("word")).distinct())
     return every.select(F.col("word").alias("surface"), F.element_at(labels, _md5_class("word", len(ENTITY_LABELS)) + 1).alias("label"))
 
