@@ -121,3 +121,17 @@ def test_random_sample_is_a_stable_top_k(spark):
     a = [r["doc_id"] for r in sampling.random_sample(df, 20).collect()]
     b = [r["doc_id"] for r in sampling.random_sample(df.repartition(7), 20).collect()]
     assert len(a) == 20 and sorted(a) == sorted(b)
+
+
+def test_gamma_draws_have_the_moments_of_the_law(spark):
+    g = spark.range(0, 20000).withColumn("alpha", F.element_at(F.array(*[F.lit(a) for a in (0.1, 1.0, 10.0, 1000.0)]),
+                                                              (F.col("id") % 4 + 1).cast("int")))
+    g = g.withColumn("x", F.exp(sampling.log_gamma_draw(F.col("alpha"), 42, "id")))
+    for r in g.groupBy("alpha").agg(F.avg("x").alias("m"), F.var_samp("x").alias("v"), F.count("*").alias("n")).collect():
+        assert r["n"] == 5000
+        assert abs(r["m"] - r["alpha"]) < 5 * (r["alpha"] / 5000) ** 0.5
+        assert abs(r["v"] / r["alpha"] - 1) < (0.25 if r["alpha"] < 1 else 0.15)
+    low = spark.range(0, 4000).withColumn("l", sampling.log_gamma_draw(F.lit(0.001), 7, "id"))
+    assert low.where("l IS NULL OR isnan(l) OR l < -1e6").count() == 0      # plain gamma variates would be 0 here
+    again = g.repartition(9).agg(F.sum(F.hash("id", "x")).alias("s")).collect()
+    assert again == g.agg(F.sum(F.hash("id", "x")).alias("s")).collect()

@@ -156,6 +156,42 @@ FROM d
 """
 
 
+def q_dirichlet_sweep_allocation(spark, sf_dir):
+    """D2 + D3: weights and allocation of all 11 alphas x 3 draws."""
+    caps = sampling.category_caps(fx.corpus(spark, sf_dir))
+    a = sampling.allocate_dirichlet(sampling.dirichlet_weights(caps, seed=SEED), caps, N, SEED, carry=("alpha",))
+    return a.select("subsample", "alpha", "category", "cap", F.round("w", 6).alias("w"), "n")
+
+
+SQL_DIRICHLET_SWEEP_ALLOCATION = """
+WITH caps AS (SELECT concat_ws('_', source, lang) AS category, count(*) AS cap FROM documents
+              WHERE concat_ws('_', source, lang) IS NOT NULL GROUP BY 1),
+grid AS (SELECT 'alpha_' || replace(a, '.', '_') || '_idx_' || r AS subsample, CAST(a AS DOUBLE) AS alpha
+         FROM unnest([%s]) x(a) CROSS JOIN range(1, 4) y(r)),
+h AS (SELECT g.subsample, g.alpha, c.category, c.cap, i, md5(concat_ws('|', '42', g.subsample, c.category, i)) AS h
+      FROM caps c CROSS JOIN grid g CROSS JOIN range(%d) t(i)),
+u AS (SELECT *, alpha + 2.0::DOUBLE / 3.0::DOUBLE AS d,
+        (CAST('0x' || substr(h, 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u0,
+        (CAST('0x' || substr(h, 9, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u1,
+        (CAST('0x' || substr(h, 17, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u2,
+        (CAST('0x' || substr(h, 25, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u3 FROM h),
+z AS (SELECT *, sqrt(-2 * ln(u0)) * cos(2 * pi() * u1) AS z FROM u),
+v AS (SELECT *, pow(1 + z / sqrt(9 * d), 3) AS v FROM z),
+ok AS (SELECT * FROM v WHERE CASE WHEN v > 0 THEN ln(u2) < z * z / 2 + d * (1 - v + ln(v)) ELSE false END),
+lg AS (SELECT subsample, alpha, category, cap, arg_min(ln(d) + ln(v) + ln(u3) / alpha, i) AS lg FROM ok GROUP BY ALL),
+e AS (SELECT *, exp(lg - max(lg) OVER (PARTITION BY subsample)) AS e FROM lg),
+w AS (SELECT *, e / sum(e) OVER (PARTITION BY subsample) AS w FROM e),
+a AS (SELECT *, CASE WHEN w <= 0 THEN 0 ELSE least(floor(500 * w), cap) END AS n0 FROM w),
+b AS (SELECT *, 500 - sum(n0) OVER (PARTITION BY subsample) AS rem FROM a),
+c AS (SELECT *, (n0 + rem) < cap AS ok FROM b),
+p AS (SELECT *, row_number() OVER (PARTITION BY subsample, ok
+                                   ORDER BY md5(concat_ws('|', '42', subsample, category)), category) AS pick FROM c)
+SELECT subsample, alpha, category, cap, round(w, 6) AS w,
+       CAST(n0 + CASE WHEN ok AND pick = 1 AND rem > 0 THEN rem ELSE 0 END AS BIGINT) AS n
+FROM p
+""" % (", ".join(f"'{a}'" for a in sampling.DEFAULT_ALPHAS), sampling.GAMMA_TRIES)
+
+
 # --------------------------------------------------------------------------- source kernel / vendi
 def q_source_kernel(spark, sf_dir):
     """V1 kernel table over the distinct (reliability, bias) of the whole corpus."""
@@ -301,6 +337,7 @@ QUERIES = {
     "uniform_allocation": q_uniform_allocation,
     "uniform_members": q_uniform_members,
     "dirichlet_allocation": q_dirichlet_allocation,
+    "dirichlet_sweep_allocation": q_dirichlet_sweep_allocation,
     "source_kernel": q_source_kernel,
     "source_vendi2": q_source_vendi2,
     "source_vendi": q_source_vendi,
@@ -317,6 +354,7 @@ ORACLE = {
     "uniform_allocation": SQL_UNIFORM_ALLOCATION,
     "uniform_members": SQL_UNIFORM_MEMBERS,
     "dirichlet_allocation": SQL_DIRICHLET_ALLOCATION,
+    "dirichlet_sweep_allocation": SQL_DIRICHLET_SWEEP_ALLOCATION,
     "source_kernel": SQL_SOURCE_KERNEL,
     "source_vendi2": SQL_SOURCE_VENDI2,
 }

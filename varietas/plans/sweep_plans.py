@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varietas.operators import diversity, joins, sampling, stats, sweep
+from varietas.operators import diversity, joins, logistic, sampling, stats, sweep
 from varietas.plans.sampling_plans import rated_pool
 from varietas.session import cut_lineage
 from varietas.sources import fixtures as fx
@@ -161,14 +161,19 @@ FROM d
 """
 
 
-def sweep_results(spark, sf_dir) -> DataFrame:
-    """T1 -> T2 -> A10 -> J4 over all 36 source subsamples (sweep result table)."""
+def source_members(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(members, test) of the 36 source subsamples: train and test rows are apart."""
     sp = split(spark, sf_dir)
     test = cut_lineage(sp.where("is_test").select("doc_id", "label"))
     # rows without a label are dropped before sampling, so every subsample trains and is scored on the same rows
     pool = rated_pool(spark, sf_dir).where(F.col("label").isNotNull()).join(test.select("doc_id"), "doc_id", "left_anti")
     members, _ = sampling.create_subsets(pool, n_total=N, seed=SEED)
-    members = cut_lineage(members.select("subsample", "alpha", "doc_id", "label", "reliability", "bias"))
+    return cut_lineage(members.select("subsample", "alpha", "doc_id", "label", "reliability", "bias")), test
+
+
+def sweep_results(spark, sf_dir) -> DataFrame:
+    """T1 -> T2 -> A10 -> J4 over all 36 source subsamples (sweep result table)."""
+    members, test = source_members(spark, sf_dir)
     scores = diversity.score_table(diversity.vendi_features(members, ["subsample"]))
     train = members.select("subsample", "doc_id", "label")
     toks = fx.doc_texts(spark, sf_dir)
@@ -183,6 +188,21 @@ def sweep_results(spark, sf_dir) -> DataFrame:
                       "vs", "normalized_vs")
 
 
+def q_sweep_logistic(spark, sf_dir):
+    """T1 -> T2 -> A10 -> J4 with logistic models that stop early, over all 36 source subsamples."""
+    members, test = source_members(spark, sf_dir)
+    scores = diversity.score_table(diversity.vendi_features(members, ["subsample"]))
+    toks = fx.doc_texts(spark, sf_dir)
+    every = members.select("doc_id").unionByName(test.select("doc_id"))
+    vectors = cut_lineage(logistic.text_vectors(every, toks))    # read by the fit and by the predictions
+    model, history = logistic.train_logistic(members.select("subsample", "doc_id", "label"), vectors)
+    m = stats.binary_metrics(logistic.predict_logistic(model, test, vectors), ["subsample"])
+    res = joins.attach(m, scores, ["subsample"]).join(history, "subsample")
+    return res.select("subsample", "alpha", F.lit("logistic").alias("model"),
+                      *[R6(c).alias(c) for c in ("mcc", "f1", "precision", "recall", "roc_auc")],
+                      "vs", "normalized_vs", "rounds", "best_round", R6("valid_loss").alias("valid_loss"), "n_train", "n_valid")
+
+
 def q_sweep_results(spark, sf_dir):
     return sweep_results(spark, sf_dir)
 
@@ -209,6 +229,7 @@ QUERIES = {
     "nb_predict": q_nb_predict,
     "sweep_metrics": q_sweep_metrics,
     "sweep_results": q_sweep_results,
+    "sweep_logistic": q_sweep_logistic,
     "sweep_analysis": q_sweep_analysis,
 }
 
