@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from varietas.operators import logistic
 from varietas.operators.logistic import Settings
 
-SMALL = Settings(dims=64, rounds=25, patience=3)
+SMALL = Settings(dims=64, rounds=12, patience=3)
 
 
 def _texts(n=240):
@@ -92,10 +92,10 @@ def test_vectors_have_length_one_and_odd_texts_none(spark):
 def test_stops_early_and_predicts_every_pair(spark, tables):
     docs, train = tables
     vec = logistic.text_vectors(train, docs, SMALL)
-    s = Settings(dims=64, rounds=60, patience=2, decay=0.0)
+    s = Settings(dims=64, rounds=40, patience=2, decay=0.0)
     noise = train.withColumn("label", F.pmod(F.hash("doc_id"), F.lit(2)))     # nothing to learn: the loss soon rises
     _, history = logistic.train_logistic(noise, vec, s)
-    assert all(r["rounds"] < 60 and r["rounds"] - r["best_round"] == 2 for r in history.collect())
+    assert all(r["rounds"] < 40 and r["rounds"] - r["best_round"] == 2 for r in history.collect())
     model, _ = logistic.train_logistic(train, vec, SMALL)
     test = train.where("subsample = 'a'").select("doc_id", "label")
     p = logistic.predict_logistic(model, test, vec)

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,40 +63,42 @@ def text_vectors(rows: DataFrame, docs: DataFrame, settings: Settings = Settings
         F.coalesce("val", F.array().cast("array<double>")).alias("val"))
 
 
-def _sparse(idx: pd.Series, val: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = idx.map(len).to_numpy()
-    row = np.repeat(np.arange(len(idx)), sizes)
-    flat = lambda s, t: np.concatenate([np.asarray(x, dtype=t) for x in s]) if len(row) else np.empty(0, t)
-    return row, flat(idx, np.int64), flat(val, np.float64)
+def _sparse(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, idx, val) of all entries of a batch."""
+    idx, val = batch.column("idx"), batch.column("val")
+    row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(idx.offsets)))
+    return row, np.asarray(idx.flatten()).astype(np.int64), np.asarray(val.flatten())
 
 
-def _margins(weights: np.ndarray, row: np.ndarray, col: np.ndarray, val: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(row, weights=weights[col] * val, minlength=n) + weights[-1]
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
 
 
-def _gradients(weights: dict[str, np.ndarray], key: str):
-    """Task of a round: per model met, the sums of units of (gradient, validation loss) over its examples."""
+def _gradients(keys: list[str], weights: np.ndarray, key: str):
+    """Task of a round: per model met, the sums of units of (gradient, loss, held-back and training rows)."""
+    size = weights.shape[1]
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, np.ndarray] = {}
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {k: i for i, k in enumerate(keys)}
+        acc = np.zeros((len(keys), size + 3), dtype=np.int64)
+        flat = acc.reshape(-1)
         for batch in batches:
-            for k, g in batch.groupby(key, sort=False):
-                w = weights[k]
-                acc = sums.setdefault(k, np.zeros(len(w) + 3, dtype=np.int64))
-                row, col, val = _sparse(g["idx"], g["val"])
-                y = g["label"].to_numpy(dtype=np.float64)
-                held = g["is_valid"].to_numpy(dtype=bool)
-                z = _margins(w, row, col, val, len(g))
-                loss = np.logaddexp(0.0, z) - y * z
-                acc[-1] += int(held.sum())
-                acc[-2] += int((~held).sum())
-                acc[-3] += int(np.rint(loss[held] * _UNIT).astype(np.int64).sum())
-                off = np.where(held, 0.0, 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700))) - y)
-                np.add.at(acc, col, np.rint(off[row] * val * _UNIT).astype(np.int64))
-                acc[len(w) - 1] += int(np.rint(off * _UNIT).astype(np.int64).sum())
-        for k, acc in sums.items():
-            at = np.flatnonzero(acc)
-            yield pd.DataFrame({key: k, "at": at, "units": acc[at]})
+            which = np.array([number[k] for k in batch.column(key).to_pylist()], dtype=np.int64)
+            row, col, val = _sparse(batch)
+            y = np.asarray(batch.column("label"), dtype=np.float64)
+            held = batch.column("is_valid").to_numpy(zero_copy_only=False).astype(bool)
+            z = np.bincount(row, weights=weights[which[row], col] * val, minlength=len(y)) + weights[which, size - 1]
+            loss = np.rint((np.logaddexp(0.0, z) - y * z) * _UNIT).astype(np.int64)
+            np.add.at(acc, (which[held], size), loss[held])
+            np.add.at(acc, (which, np.where(held, size + 2, size + 1)), 1)
+            off = np.where(held, 0.0, _sigmoid(z) - y)
+            np.add.at(flat, which[row] * (size + 3) + col, np.rint(off[row] * val * _UNIT).astype(np.int64))
+            np.add.at(acc, (which, size - 1), np.rint(off * _UNIT).astype(np.int64))
+        for i, k in enumerate(keys):
+            at = np.flatnonzero(acc[i])
+            if len(at):
+                yield pa.RecordBatch.from_pydict({key: pa.array([k] * len(at)), "at": pa.array(at, pa.int32()),
+                                                  "units": pa.array(acc[i][at])})
 
     return task
 
@@ -132,18 +134,18 @@ def train_logistic(train: DataFrame, vectors: DataFrame, settings: Settings = Se
     for t in range(1, settings.rounds + 1):
         if not open_:
             break
-        now = {k: ahead[k] for k in open_}
+        task = _gradients(list(open_), np.stack([ahead[k] for k in open_]), key)
         part = examples.where(F.col(key).isin(open_)) if len(open_) < len(keys) else examples
-        sums = (part.mapInPandas(_gradients(now, key), f"`{key}` string, at int, units long")
+        sums = (part.mapInArrow(task, f"`{key}` string, at int, units long")
                 .groupBy(key, "at").agg(F.sum("units").alias("units")))
         whole = {k: np.zeros(size + 3) for k in open_}
         for k, g in sums.toPandas().groupby(key):       # models x (dims + 4) numbers at most
             whole[k][g["at"].to_numpy()] = g["units"].to_numpy(dtype=np.float64)
         for k in list(open_):
             s = whole[k]
-            n_train, n_valid = int(s[-2]), int(s[-1])
+            n_train, n_valid = int(s[size + 1]), int(s[size + 2])
             counts[k], ran[k] = (n_train, n_valid), t
-            loss = s[-3] / _UNIT / n_valid if n_valid else -float(t)    # nothing held back: the last round is the best
+            loss = s[size] / _UNIT / n_valid if n_valid else -float(t)    # nothing held back: the last round is the best
             if loss < best[k][0]:
                 best[k] = (loss, t, ahead[k])
             elif t - best[k][1] >= settings.patience:
@@ -170,15 +172,16 @@ def predict_logistic(model: DataFrame, test: DataFrame, vectors: DataFrame, key:
     """
     weights = {r[0]: np.asarray(r[1]) for r in model.select(key, "weights").collect()}
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, col, val = _sparse(batch["idx"], batch["val"])
+            row, col, val = _sparse(batch)
             for k, w in weights.items():
-                z = _margins(w, row, col, val, len(batch))
-                yield pd.DataFrame({key: k, "doc_id": batch["doc_id"], "label": batch["label"], "pred": (z > 0).astype("int32"),
-                                    "score": 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))})
+                z = np.bincount(row, weights=w[col] * val, minlength=batch.num_rows) + w[-1]
+                yield pa.RecordBatch.from_pydict({
+                    key: pa.array([k] * batch.num_rows, pa.string()), "doc_id": batch.column("doc_id"), "label": batch.column("label"),
+                    "pred": pa.array((z > 0).astype(np.int32)), "score": pa.array(_sigmoid(z))})
 
     rows = test.select("doc_id", F.col(label).cast("int").alias("label")).join(vectors, "doc_id")
     kind = test.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "label", "idx", "val").mapInPandas(
+    return rows.select("doc_id", "label", "idx", "val").mapInArrow(
         task, f"`{key}` string, doc_id {kind}, label int, pred int, score double")
