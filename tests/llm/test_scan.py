@@ -238,3 +238,23 @@ def test_registered_query_knows_the_standard_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = queries_scan.op5_license_scan(spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [r["whole_license"] for r in got] == ["MIT", "Apache-2.0"]
+
+
+def test_names_by_initials_capitals_and_cues(spark):
+    hidden = {"I met John F. Kennedy.": "Kennedy", "Dr. J. Smith came.": "Smith", "Mr SMITH came.": "SMITH",
+              "JOHN SMITH and others": "SMITH", "My name is Zebulon Quarrington.": "Quarrington", "Dear Zebulon Quarrington,": "Zebulon",
+              "Sincerely,\nZebulon Quarrington": "Quarrington", "Меня зовут Зебулон Кваров.": "Кваров",
+              "Emma Brown called Lukas Weber.": "Weber", "Contact Ethan Clark": "Clark", "My name is Wei Zhang": "Zhang"}
+    clean = ["The Apple Store opened.", "Dear customer, please wait.", "my name is not known", "Regards, and so on.",
+             "JOHN is a gospel.", "It is called New.", "A. B. testing", "THE DR IS IN"]
+    rows = [(i, t) for i, t in enumerate([*hidden, *clean])]
+    got = {r["doc_id"]: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, (t, word) in enumerate(hidden.items()):
+        assert word not in got[i]["text"] and got[i]["pii_kinds"] == ["person"], (t, got[i]["text"])
+        assert got[i]["text"].count(" ") == t.count(" ")
+    for i, t in rows[len(hidden):]:
+        assert got[i]["text"] == t and got[i]["n_mentions"] == 0
+    assert got[2]["text"].split()[1].isupper() and got[0]["text"].split()[3][1] == "."
+    # initials of any number stay possible: they need not be distinct
+    many = [(i, f"Dr. {chr(65 + i % 26)}. Name{chr(97 + i % 26)}") for i in range(40)]
+    assert pii.replace_pii(spark.createDataFrame(many, "doc_id long, text string"), "k").where("n_mentions = 1").count() == 40
