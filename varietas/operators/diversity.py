@@ -9,7 +9,7 @@ The n x n matrix is never built:
   the spectrum of K / n equals that of sqrt(p) K_g sqrt(p) over the g distinct
   feature vectors with weights p = count / n.  Spark groups to distinct
   features; one g x g eigenproblem per subsample runs in ``applyInPandas``.
-  g is bounded by the number of distinct feature values (outlets) and checked.
+  Above ``MAX_FEATURE_GROUPS`` the kernel is cut into blocks of columns.
 * Cosine kernels (V2): with unit rows X, K = X X^T has the same non-zero
   spectrum as X^T X (d x d).  Each map task sums X^T X for the rows it holds
   (``mapInPandas``); Spark adds the partial Gram entries by key; one d x d
@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (DoubleType, IntegerType, LongType, StructField,
                                StructType)
 
+from varietas.operators import spectrum
 from varietas.session import cut_lineage
 
-MAX_FEATURE_GROUPS = 5_000
+#: Distinct items up to which a kernel is one task's (larger ones are cut into blocks), and dimensions of V2.
+MAX_FEATURE_GROUPS = 2_048
 MAX_DIM = 2_048
 
 
@@ -72,19 +74,27 @@ def dense_vendi(kernel: np.ndarray, q: float = 1.0) -> float:
 # --------------------------------------------------------------------------- V1
 def vendi_features(df: DataFrame, keys: Sequence[str] = ("subsample",),
                    features: Sequence[str] = ("reliability", "bias"), metric: str = "l1",
-                   q: float = 1.0, max_groups: int = MAX_FEATURE_GROUPS) -> DataFrame:
+                   q: float = 1.0, max_groups: int = MAX_FEATURE_GROUPS,
+                   block_bytes: int = spectrum.BLOCK_BYTES) -> DataFrame:
     """V1 / V8: Vendi score with K = 1 / (1 + distance(features)) per key.
 
-    Rows with a NULL feature are left out and counted in ``n_unrated``.
+    Rows with a NULL feature are left out and counted in ``n_unrated``.  A key of more than ``max_groups`` distinct
+    feature vectors is scored from blocks of its kernel (:mod:`varietas.operators.spectrum`), with the same result.
     Output: keys..., vs, n, n_groups, n_unrated.
     """
+    if metric not in ("l1", "l2"):
+        raise ValueError(f"unknown metric {metric}")
     keys = list(keys)
     feats = list(features)
     gkeys = keys if keys else ["_all"]
     src = df if keys else df.withColumn("_all", F.lit(1))
-    # one aggregation: rows with a NULL feature form their own groups and are
-    # split off inside the scoring function (no second pass over the input)
-    grouped = src.groupBy(*gkeys, *feats).agg(F.count("*").alias("_cnt"))
+    # one aggregation: rows with a NULL feature form their own groups and are counted apart (no second pass over the input)
+    rated = F.lit(True)
+    for f in feats:
+        rated = rated & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
+    part = Window.partitionBy(*gkeys)
+    grouped = cut_lineage(src.groupBy(*gkeys, *feats).agg(F.count("*").alias("_cnt"))
+                          .withColumn("_rated", rated).withColumn("_g", F.count(F.when(F.col("_rated"), 1)).over(part)))
     key_fields = [f for f in grouped.schema.fields if f.name in gkeys]
     out_schema = StructType(key_fields + [StructField("vs", DoubleType()),
                                           StructField("n", LongType()),
@@ -92,12 +102,10 @@ def vendi_features(df: DataFrame, keys: Sequence[str] = ("subsample",),
                                           StructField("n_unrated", LongType())])
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        rated = pdf[feats].notna().all(axis=1).to_numpy()
+        rated = pdf["_rated"].to_numpy()
         n_unrated = int(pdf["_cnt"].to_numpy()[~rated].sum())
         r = pdf[rated]
         g = len(r)
-        if g > max_groups:
-            raise ValueError(f"{g} distinct feature vectors exceed the bound {max_groups}")
         cnt = r["_cnt"].to_numpy(dtype=np.float64)
         n = cnt.sum()
         vs = weighted_vendi(feature_kernel(r[feats].to_numpy(dtype=np.float64), metric), cnt / n, q) \
@@ -106,10 +114,29 @@ def vendi_features(df: DataFrame, keys: Sequence[str] = ("subsample",),
         row.update(vs=vs, n=int(n), n_groups=g, n_unrated=n_unrated)
         return pd.DataFrame([row])
 
-    res = grouped.groupBy(*gkeys).applyInPandas(score, out_schema)
+    res = grouped.where(F.col("_g") <= max_groups).groupBy(*gkeys).applyInPandas(score, out_schema)
+    largest = grouped.agg(F.max("_g")).first()[0] or 0
+    if largest > max_groups:
+        wide = grouped.where(F.col("_g") > max_groups)
+        totals = wide.groupBy(*gkeys).agg(F.sum(F.when(F.col("_rated"), F.col("_cnt"))).alias("n"),
+                                          F.first("_g").cast("int").alias("n_groups"),
+                                          F.coalesce(F.sum(F.when(~F.col("_rated"), F.col("_cnt"))), F.lit(0)).alias("n_unrated"))
+        blocks = spectrum.n_blocks(largest, block_bytes)
+        make = spectrum.feature_blocks(wide.where("_rated"), gkeys, feats, "_cnt", metric, blocks)
+        scores = spectrum.spectral_vendi(make, totals.select(*gkeys, F.lit(1.0).alias("trace")), gkeys, blocks, q)
+        res = res.unionByName(_meet(scores, totals, gkeys).select([f.name for f in out_schema.fields]))
     return res.drop("_all") if not keys else res
 
 
+def _meet(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys of which some may be null; each key once."""
+    b = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(b, same).drop(*[f"_r_{k}" for k in keys])
+
+
 def feature_kernel_table(df: DataFrame, keys: Sequence[str] = (),
                          features: Sequence[str] = ("reliability", "bias"),
                          metric: str = "l1") -> DataFrame:
@@ -239,44 +266,62 @@ def vendi_cosine(df: DataFrame, keys: Sequence[str] = (), vec: str = "embedding"
 
 
 def vendi_kernel_weights(weights: DataFrame, kernel: DataFrame, keys: Sequence[str] = ("subsample",),
-                         item: str = "topic_nr", q: float = 1.0) -> DataFrame:
-    """Vendi score of samples over items with a fixed item x item kernel.
+                         item: str = "topic_nr", q: float = 1.0, max_items: int = MAX_FEATURE_GROUPS,
+                         block_bytes: int = spectrum.BLOCK_BYTES) -> DataFrame:
+    """V6: Vendi score of samples over items with a fixed item x item kernel.
 
-    ``weights``: (keys..., item, cnt); ``kernel``: (item_i, item_j, k) for all
+    ``weights``: (keys..., item, cnt), one row an item; ``kernel``: (item_i, item_j, k) for all
     ordered pairs.  Used for topic subsamples: every member of a topic shares the
     topic vector, so only the t x t topic kernel and the counts matter.  A pair
-    without a kernel entry is an error.
+    without a kernel entry is an error.  Items with a count of zero weigh nothing.
+
+    A kernel of at most ``max_items`` items (counted first) goes to every task, which meets the keys' counts; a larger
+    one is joined with them and scored from blocks (:mod:`varietas.operators.spectrum`), with the same result.
     """
     keys = list(keys)
-    wi = weights.select(*keys, F.col(item).alias("item_i"), F.col("cnt").alias("c_i"))
-    wj = weights.select(*keys, F.col(item).alias("item_j"), F.col("cnt").alias("c_j"))
-    known = kernel.select("item_i", "item_j", "k").withColumn("_known", F.lit(True))
-    pairs = wi.join(wj, keys).join(known, ["item_i", "item_j"], "left")
+    kernel = cut_lineage(kernel.select("item_i", "item_j", "k"))
+    known = kernel.agg(F.count_distinct("item_i").alias("i"), F.count_distinct("item_j").alias("j")).first()
+    key_fields = [f for f in weights.schema.fields if f.name in keys]
+    schema = StructType(key_fields + [StructField("vs", DoubleType()), StructField("n", LongType())])
+    if max(known["i"], known["j"]) <= max_items:
+        table = kernel.dropDuplicates(["item_i", "item_j"]).toPandas()          # at most max_items^2 numbers
+        rows = {v: t for t, v in enumerate(sorted(set(table["item_i"]) | set(table["item_j"])))}
+        whole = np.full((len(rows), len(rows)), np.nan)
+        whole[table["item_i"].map(rows).to_numpy(int), table["item_j"].map(rows).to_numpy(int)] = table["k"].to_numpy(np.float64)
+        shared = weights.sparkSession.sparkContext.broadcast((rows, whole))
+
+        def score(pdf: pd.DataFrame) -> pd.DataFrame:
+            rows, whole = shared.value
+            pdf = pdf.groupby(item, dropna=False, as_index=False).agg({"cnt": "sum", **{k: "first" for k in keys}})
+            items, cnt = pdf[item].to_list(), pdf["cnt"].to_numpy(np.float64)
+            at = np.array([rows.get(v, -1) for v in items])
+            km = whole[np.ix_(at, at)].copy()
+            km[at < 0, :] = np.nan
+            km[:, at < 0] = np.nan
+            lost = np.argwhere(np.isnan(km))
+            if len(lost):
+                raise ValueError(f"no kernel entry for items {items[lost[0][0]]}, {items[lost[0][1]]}")
+            n = cnt.sum()
+            vs = weighted_vendi(km, cnt / n, q) if n else float("nan")
+            return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "vs": vs, "n": int(n)}])
+
+        return weights.select(*keys, item, "cnt").groupBy(*keys).applyInPandas(score, schema)
+    w = cut_lineage(weights.groupBy(*keys, item).agg(F.sum("cnt").alias("cnt")))
+    wi = w.select(*keys, F.col(item).alias("item_i"), F.col("cnt").alias("c_i"))
+    wj = w.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col(item).alias("item_j"), F.col("cnt").alias("c_j"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    pairs = wi.join(wj, same).drop(*[f"_r_{k}" for k in keys]).join(kernel, ["item_i", "item_j"], "left")
     lost = F.raise_error(F.concat(F.lit("no kernel entry for items "), F.col("item_i").cast("string"), F.lit(", "),
                                   F.col("item_j").cast("string"))).cast("double")
-    pairs = pairs.withColumn("k", F.when(F.col("_known"), F.col("k")).otherwise(lost)).drop("_known")
-    key_fields = [f for f in pairs.schema.fields if f.name in keys]
-    schema = StructType(key_fields + [StructField("vs", DoubleType()), StructField("n", LongType())])
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = np.unique(pdf["item_i"].to_numpy())
-        idx = {v: t for t, v in enumerate(items)}
-        g = len(items)
-        if g > MAX_FEATURE_GROUPS:
-            raise ValueError(f"{g} items exceed the bound {MAX_FEATURE_GROUPS}")
-        km = np.zeros((g, g))
-        cnt = np.zeros(g)
-        ii = pdf["item_i"].map(idx).to_numpy()
-        jj = pdf["item_j"].map(idx).to_numpy()
-        km[ii, jj] = pdf["k"].to_numpy()
-        cnt[ii] = pdf["c_i"].to_numpy()
-        n = cnt.sum()
-        vs = weighted_vendi(km, cnt / n, q)
-        row = {k: pdf[k].iloc[0] for k in keys}
-        row.update(vs=vs, n=int(n))
-        return pd.DataFrame([row])
-
-    return pairs.groupBy(*keys).applyInPandas(score, schema)
+    pairs = cut_lineage(pairs.withColumn("k", F.coalesce("k", lost)))
+    totals = w.groupBy(*keys).agg(F.sum("cnt").alias("n"))
+    trace = _meet(pairs.where(F.col("item_i") == F.col("item_j")).groupBy(*keys).agg(F.sum(F.col("c_i") * F.col("k")).alias("_t")),
+                  totals, keys).select(*keys, (F.col("_t") / F.col("n")).alias("trace"))
+    blocks = spectrum.n_blocks(max(known["i"], known["j"]), block_bytes)
+    scores = spectrum.spectral_vendi(spectrum.pair_blocks(pairs, keys, blocks), trace, keys, blocks, q)
+    return _meet(scores, totals, keys).select(*keys, "vs", "n")
 
 
 # --------------------------------------------------------------------------- V5
