@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from varietas.operators import diversity, sampling, topics
+from varietas.operators import density, diversity, neighbours, sampling, topics
+from varietas.session import cut_lineage
 from varietas.sources import fixtures as fx
 
 R6 = lambda c: F.round(c, 6)
@@ -157,6 +158,38 @@ def q_kmeans_topics(spark, sf_dir):
     return t.groupBy("topic_nr").agg(F.count("*").alias("n"), R6(F.avg("membership")).alias("mean_membership"))
 
 
+def q_nearest_neighbours(spark, sf_dir):
+    """The ten nearest other vectors of every vector, by cosine distance."""
+    near = neighbours.knn(fx.embedding(spark, sf_dir), k=10)
+    return near.select(F.col("id").alias("doc_id"), "neighbour", R6("dist").alias("dist"), "rank")
+
+
+SQL_NEAREST_NEIGHBOURS = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS len
+           FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT a.vec_id AS doc_id, b.vec_id AS neighbour,
+             round(greatest(1.0 - CASE WHEN a.len * b.len > 0 THEN list_inner_product(a.e, b.e) / (a.len * b.len) ELSE 0.0 END, 0.0), 9) AS dist
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id)
+SELECT doc_id, neighbour, round(dist, 6) AS dist, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY dist, neighbour) AS INTEGER) AS rank
+FROM p QUALIFY rank <= 10
+"""
+
+
+def q_density_topics(spark, sf_dir):
+    """The density topic of every vector, -1 for outliers, and its membership."""
+    t = density.density_topics(fx.embedding(spark, sf_dir), min_size=25)
+    return t.select("doc_id", "topic_nr", R6("membership").alias("membership"))
+
+
+def q_density_reassigned(spark, sf_dir):
+    """X5 + X6: outliers of the density topics take the topic with the largest share of their neighbours, if at least 0.05."""
+    emb = fx.embedding(spark, sf_dir)
+    near = cut_lineage(neighbours.knn(emb, k=15))
+    t = cut_lineage(density.density_topics(emb, min_size=25, near=near))
+    r = topics.reassign_outliers(density.neighbour_weights(near, t), threshold=0.05)
+    return r.select("doc_id", "topic_nr_orig", "topic_nr")
+
+
 def q_project_2d(spark, sf_dir):
     """X10 + A3: 2-D coordinates, then size and mean position per topic."""
     p = topics.project_2d(fx.embedding(spark, sf_dir)).join(fx.doc_topic(spark, sf_dir), "doc_id")
@@ -259,10 +292,14 @@ QUERIES = {
     "topic_subsample_scores": q_topic_subsample_scores,
     "coherence_cv": q_coherence_cv,
     "kmeans_topics": q_kmeans_topics,
+    "nearest_neighbours": q_nearest_neighbours,
+    "density_topics": q_density_topics,
+    "density_reassigned": q_density_reassigned,
     "project_2d": q_project_2d,
 }
 
 ORACLE = {
+    "nearest_neighbours": SQL_NEAREST_NEIGHBOURS,
     "topic_representatives": SQL_TOPIC_REPRESENTATIVES,
     "topic_kernel_vendi2": SQL_TOPIC_KERNEL_VENDI2,
     "top_bigrams": SQL_TOP_BIGRAMS,
