@@ -31,8 +31,10 @@ from pyspark.sql.types import (DoubleType, IntegerType, LongType, StructField,
 from varietas.operators import spectrum
 from varietas.session import cut_lineage
 
-#: Distinct items up to which a kernel is one task's (larger ones are cut into blocks), and dimensions of V2.
-MAX_FEATURE_GROUPS = 2_048
+#: Distinct feature vectors up to which a kernel is one task's, and items up to which one goes to all tasks (larger ones
+#: are cut into blocks); dimensions of V2.
+MAX_FEATURE_GROUPS = 5_000
+MAX_ITEMS = 2_048
 MAX_DIM = 2_048
 
 
@@ -266,7 +268,7 @@ def vendi_cosine(df: DataFrame, keys: Sequence[str] = (), vec: str = "embedding"
 
 
 def vendi_kernel_weights(weights: DataFrame, kernel: DataFrame, keys: Sequence[str] = ("subsample",),
-                         item: str = "topic_nr", q: float = 1.0, max_items: int = MAX_FEATURE_GROUPS,
+                         item: str = "topic_nr", q: float = 1.0, max_items: int = MAX_ITEMS,
                          block_bytes: int = spectrum.BLOCK_BYTES) -> DataFrame:
     """V6: Vendi score of samples over items with a fixed item x item kernel.
 

@@ -25,13 +25,14 @@ from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField,
 
 from varietas.session import cut_lineage
 
-#: Bytes of a block of columns, overlap (of the trace) below which columns count as orthogonal, sweeps before giving up.
-BLOCK_BYTES, OVERLAP, MAX_SWEEPS = 32 << 20, 1e-11, 40
+#: Bytes and columns of a block at most (narrow blocks make more tasks and less work), overlap (of the trace) below which
+#: columns count as orthogonal, sweeps before giving up.
+BLOCK_BYTES, WIDTH, OVERLAP, MAX_SWEEPS = 32 << 20, 256, 1e-11, 40
 
 
 def n_blocks(n: int, block_bytes: int = BLOCK_BYTES) -> int:
-    """Blocks of columns for n items: n x width doubles fit ``block_bytes`` (a block has at least one column)."""
-    width = max(1, block_bytes // (8 * max(n, 1)))
+    """Blocks of columns for n items: n x width doubles fit ``block_bytes`` (a block has 1 to ``WIDTH`` columns)."""
+    width = max(1, min(WIDTH, block_bytes // (8 * max(n, 1))))
     return max(1, -(-n // width))
 
 
