@@ -78,6 +78,21 @@ def test_ranks_do_not_need_exchange_reuse(spark):
     assert got == {0: s[0], 19_999: s[-1], 5000: s[5000]}
 
 
+def test_a_position_meets_few_values(spark):
+    # one value holds half of the positions, 3,000 others share the rest
+    v = ["hot"] * 6000 + [f"w{i % 3000:04d}" for i in range(6000)]
+    df = spark.createDataFrame([(x,) for x in v], "v string")
+    spans, width = stats.position_spans(df, "v")
+    spans = spans.toPandas()
+    assert width == len(v) // 3001 and len(spans) <= 3 * 3001
+    met = spans.groupby("_bucket").size().reindex(np.arange(len(v)) // width)
+    assert met.mean() <= 4 and met.max() <= width + 1
+    at = spark.createDataFrame([(p,) for p in (*range(0, len(v), 7), -1, len(v), None)], "p long")
+    got = {r["p"]: r["v"] for r in stats.value_at(df, "v", at, "p").collect()}
+    assert got == {p: sorted(v)[p] for p in range(0, len(v), 7)}
+    assert stats.value_at(df.where("v is null"), "v", at, "p").count() == 0
+
+
 def test_subsamples_train_on_equal_numbers_of_labelled_rows(spark):
     train, test = sweep_plans.uniform_train(spark, "/root/testdata/sf0.1")
     n = {r["subsample"]: r["n"] for r in train.groupBy("subsample").agg(F.count("label").alias("n")).collect()}
