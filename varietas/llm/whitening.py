@@ -132,6 +132,11 @@ def interval_of_largest(v: np.ndarray, want: int) -> tuple[float, float, int]:
     return bottom, top, len(v)
 
 
+def quadrature_points(spark: SparkSession, points: int) -> DataFrame:
+    """(id): a task a point, without a shuffle: the partitions are the points, whatever the session's shuffle partitions."""
+    return spark.range(0, points, 1, points)
+
+
 def feast(spark: SparkSession, v: np.ndarray, low: float, high: float, count: int, points: int = POINTS,
           rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
     """(eigenvalues, unit eigenvectors as columns) of ``v`` in (low, high), largest first.
@@ -144,18 +149,17 @@ def feast(spark: SparkSession, v: np.ndarray, low: float, high: float, count: in
     y = np.random.default_rng(20).standard_normal((dim, block))
     nodes, weights = np.polynomial.legendre.leggauss(points)
     centre, radius = (low + high) / 2, (high - low) / 2
-    frame = spark.createDataFrame([(i, float(t), float(w)) for i, (t, w) in enumerate(zip(nodes, weights, strict=True))],
-                                  "point int, node double, weight double").repartition(points, "point")
+    frame = quadrature_points(spark, points)
     scale = max(float(np.abs(v).sum(axis=1).max()), np.finfo(float).tiny)
     best = (np.inf, None, None)
     for _ in range(rounds):
         def solve(parts, y=y):
             for part in parts:
-                for r in part.itertuples():
-                    turn = np.exp(1j * np.pi / 2 * (1 - r.node))              # upper half circle
+                for point in part["id"].tolist():
+                    turn = np.exp(1j * np.pi / 2 * (1 - nodes[point]))        # upper half circle
                     x = np.linalg.solve((centre + radius * turn) * np.eye(dim) - v, y.astype(complex))
-                    q = (r.weight / 2 * radius * turn * x).real
-                    yield pd.DataFrame({"point": r.point, "column": range(block), "q": list(q.T)})
+                    q = (weights[point] / 2 * radius * turn * x).real
+                    yield pd.DataFrame({"point": point, "column": range(block), "q": list(q.T)})
         got = frame.mapInPandas(solve, "point int, column int, q array<double>").collect()    # points x block vectors
         q = np.zeros((dim, block))
         for r in sorted(got, key=lambda r: (r["point"], r["column"])):
